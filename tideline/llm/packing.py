@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, runs, slices
-from .tokens import encoder
+from .tokens import TOKEN_SLICE, encoder
 
 Config = tuple[int, ...]
 #: Rounds of the multiplicative weights and their step.
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, limit=TOKEN_SLICE):
                 flat, counts = enc.encode(b["text"])
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1

@@ -1,26 +1,33 @@
 """Token ids of whole texts by a byte-level BPE of the tokenizers library.
 
-Byte-level BPE splits a text before it merges, and a single blank always starts a new part while a single
-line feed is a part of its own. Texts whose white space is that plain are cut there, each different part is
-encoded once by the library, and the ids of a text are gathered from those of its parts with numpy. Any other
-text (runs of white space, tabs, special tokens) goes to the library whole.
+Byte-level BPE splits a text before it merges, and a single blank always starts a new part while a single line
+feed is a part of its own. Texts whose white space is that plain are cut there with Arrow kernels, each different
+part is split by the vocabulary's own pattern once, each different pre-token goes to the library's BPE model once,
+and the ids of a text are gathered with numpy. Any other text (runs of white space, tabs, special tokens) goes to
+the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
+from .bpe import byte_letters
 from .common import runs, single_thread
 
 #: Different parts kept in a worker's memory before it starts anew.
-PARTS_KEPT = 600_000
-#: New parts joined in one text for the library.
-JOINED = 2_000
+PARTS_KEPT = 700_000
+#: Bytes of text encoded at once: the more, the fewer parts are looked up again.
+TOKEN_SLICE = 8 << 20
+#: How byte-level vocabularies split a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 #: White space that isn't a lone blank or line feed, or a NUL, which marks the cuts here.
@@ -35,15 +42,17 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter of the byte-level alphabet for each byte
+        self.model = self.tokenizer.model
+        self.split = regex.compile(PATTERN)
+        self.letters = dict(enumerate(byte_letters()))
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = "|".join([ODD, *map(re.escape, special)])
         self._clear()
 
     def _clear(self) -> None:
         self.parts: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.word_ids, self.word_ends = array("I"), array("q", [0])
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.first = np.zeros(1 << 15, np.int64)
@@ -56,23 +65,33 @@ class TextEncoder:
             self.used += len(ids)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode the new parts, many joined in a text; the bytes of the tokens tell where each part ends."""
+        """Ids of new parts. They are split as one text, with a line feed before each part that has no blank of its own."""
         self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
         n, led = len(self.parts), np.array([not p.startswith(" ") for p in new])
         if n > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.first, self.count))
-        joined = ["\n" + p if own else p for p, own in zip(new, led, strict=True)]  # a line feed stands alone before a part without a blank
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)], add_special_tokens=False)]
-        flat = np.concatenate([np.array(ids, np.uint32) for ids in got])
-        token_ends = np.cumsum(self.n_bytes[flat])
-        part_ends = np.cumsum(np.fromiter((len(p.encode()) for p in joined), np.int64, len(joined)))
-        ends = np.searchsorted(token_ends, part_ends, "right")
-        first = np.concatenate([[0], ends[:-1]]) + led
+        words = self.split.findall("".join(["\n" + p if own else p for p, own in zip(new, led.tolist(), strict=True)]))
+        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(index < 0).tolist()
+        fresh = list(dict.fromkeys([words[i] for i in missing]))
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        tokenize, letters = self.model.tokenize, self.letters
+        for w in fresh:
+            ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]
+            self.word_ids.extend(ids)
+            self.word_ends.append(len(self.word_ids))
+        index[missing] = np.fromiter((self.known[words[i]] for i in missing), np.int64, len(missing))
+        ends = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + led), "right")
+        word_ends = np.array(self.word_ends)
+        sizes = word_ends[index + 1] - word_ends[index]
+        flat = np.array(self.word_ids)[runs(word_ends[index], sizes)]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        first, last = at[np.concatenate([[0], ends[:-1]]) + led], at[ends]
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.first[n - len(new) : n] = self.used + first
-        self.count[n - len(new) : n] = ends - first
+        self.count[n - len(new) : n] = last - first
         self.used += len(flat)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +104,10 @@ class TextEncoder:
         cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0"), "\0")
         parts = cut.flatten().dictionary_encode()
         words = parts.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.parts]:
-            self._learn(new)
-        known = np.fromiter(map(self.parts.__getitem__, words), np.int64, len(words))
+        known = np.fromiter(map(self.parts.get, words, repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(known < 0)):
+            known[missing] = np.arange(len(self.parts), len(self.parts) + len(missing))
+            self._learn([words[i] for i in missing.tolist()])
         index = known[parts.indices.to_numpy()]
         lengths = self.count[index]
         flat = self.ids[runs(self.first[index], lengths)]
