@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowout, bpe, media, packing
+from . import arrowout, bpe, media, packing, secrets, topk
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,14 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_packing, op4_arrow_streams, op7_media)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_packing, op4_arrow_streams, op7_media, op9_secrets, op10_topk)}
 #: None of the ten has a DuckDB form that finishes on whole tables; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
