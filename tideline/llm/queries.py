@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowout, bpe, langid, media, packing, secrets, topk
+from . import arrowout, bpe, langid, media, packing, quality, secrets, topk
 from .common import fold, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,13 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")).where(part != 0)
+    got = quality.predict(docs, quality.train(docs.select("doc_id", "text").join(labels, "doc_id")))
+    return got.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +50,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op7_media, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op7_media, op8_quality, op9_secrets, op10_topk)}
 #: None of the ten has a DuckDB form that finishes on whole tables; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
