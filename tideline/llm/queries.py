@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowout, bpe, langid, lm, media, packing, quality, secrets, topk
+from . import arrowout, bpe, jaccard, langid, lm, media, packing, quality, secrets, topk
 from .common import fold, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op4_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrowout.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE).drop("shard")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).drop("set_id")
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lm.score(table(spark, sf_dir, "documents"), BYTE_BPE, fold(F.col("doc_id"), 7) != 2)
     return got.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -55,6 +59,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk)}
 #: None of the ten has a DuckDB form that finishes on whole tables; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
