@@ -335,3 +335,18 @@ def _classes_of(pairs: DataFrame, label_of: DataFrame) -> DataFrame:
     for c in ("a", "b"):
         pairs = pairs.join(label_of.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
     return pairs
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without those whose class has a smaller doc_id; rows that share both doc_id and text count as one."""
+    found = kept(classes(docs), "jaccard-classes")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    alone = gone.select("doc_id", F.lit(True).alias("gone"))
+    n = gone.count()
+    rest = docs.join(F.broadcast(alone) if n <= MOST_BROADCAST else alone, "doc_id", "left_anti")
+    again = kept(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-repeated")
+    m = again.count()
+    if not m:
+        return rest.select(docs.columns)
+    again = F.broadcast(again) if m <= MOST_BROADCAST else again
+    return rest.join(again, "doc_id", "left_anti").select(docs.columns).union(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))

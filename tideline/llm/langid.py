@@ -148,3 +148,16 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
                 yield pa.record_batch([b["doc_id"], pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
+    """The rows of docs (with a text column) that have a language with a score of `least` or more, unchanged; no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, limit=1 << 20):
+                names, score = classify(model.value, b["text"])
+                yield b.filter(pa.array((np.array(names, object) != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -114,15 +114,18 @@ class Voters:
         return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
 
-def train(labelled: DataFrame, sample_each: int = SAMPLE_EACH) -> Voters:
-    """Voters from (doc_id, text, label 0 or 1); other labels and null ones are ignored."""
-    rows = labelled.where(F.col("label").isin(0, 1))
+def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> Voters:
+    """Voters from docs (doc_id, text) and labels (doc_id, label 0 or 1); other labels and null ones are ignored.
+
+    The sample is drawn from the labels, so what is joined to the texts is small and broadcast: no text is shuffled."""
+    rows = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows at most
     width = WIDTH
     if not sizes:
         return Voters(np.ones(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     limit = F.when(F.col("label") == 1, int(min(1, sample_each / sizes.get(1, 1)) * (1 << 30))).otherwise(int(min(1, sample_each / sizes.get(0, 1)) * (1 << 30)))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit).select("doc_id", "label", "text")
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("doc_id", "label")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # about 2 * sample_each rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,3 +158,15 @@ def predict(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: s
                 yield pa.record_batch([b["doc_id"], pa.array(model.value.score(pc.fill_null(b["text"], "").to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, voters: Voters, least: float = GOOD) -> DataFrame:
+    """The rows of docs (with a text column) whose score is high enough, unchanged; no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(voters)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, limit=1 << 20):
+                yield b.filter(pa.array(model.value.score(pc.fill_null(b["text"], "").to_pylist()) >= least))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -47,7 +47,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")).where(part != 0)
-    got = quality.predict(docs, quality.train(docs.select("doc_id", "text").join(labels, "doc_id")))
+    got = quality.predict(docs, quality.train(docs, labels))
     return got.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
 
 

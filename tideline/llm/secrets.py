@@ -38,6 +38,8 @@ ORDINARY = r"[A-Za-z_-]{12,}"
 #: Documents of the training sample, at most about so many; nats by which a random string must be likelier; pseudo-count of a pair.
 SAMPLE_DOCS, LEAST_RATIO, PSEUDO = 10_000, 12.0, 0.5
 
+#: Columns that find() adds.
+BASE, ALL = "_secret_base", "_secret_spans"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -94,18 +96,18 @@ def _ratio(run: Column, table: Column) -> Column:
 
 
 def find(docs: DataFrame, table: list[float], threshold: float = LEAST_RATIO) -> DataFrame:
-    """docs with two more columns: base (spans of the rules) and spans (all), each sorted by start, then kind."""
+    """docs with two more columns: BASE (spans of the rules) and ALL (all spans), each sorted by start, then kind."""
     ratios = F.array(*map(F.lit, table))
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def apart(span: Column, base: Column) -> Column:
         return ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
 
-    base = docs.withColumn("base", base_spans(text))
-    runs = base.withColumn("runs", F.filter(_spans(text, RUN, 3), lambda s: apart(s, F.col("base"))))
-    model = F.filter("runs", lambda s: _ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), ratios) >= threshold)
-    added = F.when(F.size("runs") > 0, F.array_sort(F.concat("base", model))).otherwise(F.col("base"))
-    return runs.withColumn("spans", added).drop("runs")
+    base = docs.withColumn(BASE, base_spans(text))
+    runs = base.withColumn("_secret_runs", F.filter(_spans(text, RUN, 3), lambda s: apart(s, F.col(BASE))))
+    model = F.filter("_secret_runs", lambda s: _ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), ratios) >= threshold)
+    added = F.when(F.size("_secret_runs") > 0, F.array_sort(F.concat(BASE, model))).otherwise(F.col(BASE))
+    return runs.withColumn(ALL, added).drop("_secret_runs")
 
 
 def joined(spans: Column) -> Column:
@@ -117,8 +119,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = find(rows, train(rows))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    count = [F.size(F.filter(BASE, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *count, F.sha2(joined(F.col(BASE)), 256).alias("base_sha256"), joined(F.col(ALL)).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -131,8 +133,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("spans") > 0, clean).otherwise(text)
+    clean = F.aggregate(ALL, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = F.when(F.size(ALL) > 0, clean).otherwise(text)
     changed = found.withColumn("text", new)
-    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    n_chars = F.when(F.size(ALL) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return changed.withColumn("n_chars", n_chars).select(docs.columns)
