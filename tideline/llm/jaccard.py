@@ -10,9 +10,11 @@ just as many non-empty partitions as its own size allows differences, and one mo
 
 Equal sets count as one throughout (64-bit digest of the set). Signatures travel in blocks per hash bucket, without
 repetitions within a slice of text; a bucket sorts its signatures, gives every pair of a small group, and for a large
-one the pairs with its first member and the list of members. Each set's most frequent pair is verified first on the
-full sets (40-bit shingle hashes), then what still spans two of the classes known, and where a large group holds
-members of several classes, those that missed its first member against the others. Links' classes come from label
+one the pairs with its first member and the list of members. Two exact tests precede the full one: the sizes, and
+parity sketches (a bit per hash bucket, the parity of its shingles; two sets differ in at least as many shingles as
+their sketches in bits). Each set's most frequent pair is verified first on the full sets (40-bit shingle hashes), then
+what still spans two of the classes known. Where a large group holds members of several classes after that, its
+members are compared by sketch in blocks of bounded size, and what passes is verified. Links' classes come from label
 propagation with pointer jumping, in tables; nothing about documents is gathered on the driver.
 
 Null and empty texts have no set, are linked with nothing and form their own class. Fewer words than WORDS make one
@@ -39,6 +41,8 @@ WORDS, PERCENT = 5, 80
 SLICE, PER_BUCKET, FEWEST = 2 << 20, 1_500_000, 64
 #: Members up to which a signature's group gives all its pairs.
 SMALL_GROUP = 4
+#: Members of a large group that a task compares with as many others, about.
+BLOCK = 1_024
 #: Rows up to which the ids of candidate sets are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -230,18 +234,62 @@ def _sized_join(big: DataFrame, small: DataFrame, n: int, on: str) -> DataFrame:
     return big.join(F.broadcast(small) if n <= MOST_BROADCAST else small, on)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bit per bucket of the hashes' low bits: whether it holds an odd number; about as many buckets as hashes."""
+    size = 1 << max(6, int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch with fewer buckets, as bytes."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, size, hashes): the sets of one document of each wanted set; five bytes per shingle."""
+    """(set_id, size, sketch, hashes) of each wanted set, from one of its documents; five bytes per shingle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, limit=SLICE):
                 sets = shingle_sets(b["text"].to_pylist())
                 data = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes() for s in sets]
-                yield pa.record_batch([b["set_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())], ["set_id", "size", "hashes"])
+                columns = [b["set_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity, sets), pa.binary()), pa.array(data, pa.binary())]
+                yield pa.record_batch(columns, ["set_id", "size", "sketch", "hashes"])
 
     rows = _sized_join(docs, wanted, wanted.count(), "doc_id")
-    return rows.select("set_id", "text").mapInArrow(work, "set_id long, size long, hashes binary")
+    return rows.select("set_id", "text").mapInArrow(work, "set_id long, size long, sketch binary, hashes binary")
+
+
+def _both(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+    """pairs (a, b) with size and `what` of either."""
+    for c in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("set_id").alias(c), F.col("size").alias(f"{c}_size"), F.col(what).alias(f"{c}_{what}")), c)
+    return pairs
+
+
+def _most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """In how many shingles linked sets of these sizes differ at most; -1 if their sizes forbid a link."""
+    apart = (n + m) * (100 - PERCENT) // (100 + PERCENT)
+    return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT, apart, -1)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches allow, with their other columns."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = _most_apart(batch["a_size"].to_numpy(), batch["b_size"].to_numpy())
+            ok = most >= 0
+            for i in np.flatnonzero(ok).tolist():
+                x, y = (np.frombuffer(batch[c][i].as_py(), np.uint8) for c in ("a_sketch", "b_sketch"))
+                size = min(len(x), len(y))
+                ok[i] = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= most[i]
+            yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
+
+    return _both(pairs, sets, "sketch").select("a", "b", "n", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(work, "a long, b long, n long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
@@ -253,15 +301,13 @@ def similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("size").alias("a_size"), F.col("hashes").alias("a_hashes"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("size").alias("b_size"), F.col("hashes").alias("b_hashes"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similar(_widen(x.as_py(), 5), _widen(y.as_py(), 5), n, m) for x, y, n, m in zip(batch["a_hashes"], batch["b_hashes"], batch["a_size"].to_pylist(), batch["b_size"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "a_size", "b_size", "a_hashes", "b_hashes").mapInArrow(work, "a long, b long")
+    return _both(pairs.select("a", "b"), sets, "hashes").select("a", "b", "a_size", "b_size", "a_hashes", "b_hashes").mapInArrow(work, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,7 +336,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     # the text of the smallest doc_id; of rows that share it, any with this set
     sets = kept(_sets(rows, kept(reps.join(wanted, "set_id"), "jaccard-wanted")), "jaccard-shingles")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    possible = kept(_possible(pairs, sets), "jaccard-possible")
+    best = possible.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     early = kept(_verify(best, sets), "jaccard-links")
     parent = early.select(F.col("b").alias("id"), F.col("a").alias("label"))
 
@@ -300,19 +347,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         one = df.join(up, col, "left").withColumn(f"{col}_top", F.coalesce("up", col)).drop("up")
         return one.join(up2, f"{col}_top", "left").withColumn(f"{col}_top", F.coalesce("up2", f"{col}_top")).drop("up2")
 
-    rest = label(label(pairs.join(best, ["a", "b"], "left_anti"), "a"), "b").where("a_top != b_top").select("a", "b")
+    rest = label(label(possible.join(best, ["a", "b"], "left_anti"), "a"), "b").where("a_top != b_top").select("a", "b")
     late = kept(_verify(kept(rest, "jaccard-rest"), sets), "jaccard-links")
     links = early.union(late)
     label_of = components(links)
     # large groups whose first member missed someone of another class
     missed = _classes_of(pairs.select("a", "b"), label_of).where("a_label != b_label")
     groups = found.where("members is not null").select("a", "members")
-    open_groups = groups.join(missed.select("a").distinct(), "a", "left_semi")
+    open_groups = groups.join(missed.select("a").distinct(), "a", "left_semi").select("members")
     if not open_groups.isEmpty():
-        ids = _explode(open_groups)
-        pairs2 = ids.join(missed.select("a", F.col("b").alias("m")), "a").where("array_contains(ids, m)").select("m", F.explode("ids").alias("o")).where("m != o")
-        pairs2 = pairs2.select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct()
-        new = _classes_of(pairs2, label_of).where("a_label != b_label").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        new = _within(open_groups, label_of, sets).join(possible, ["a", "b"], "left_anti")
         more = kept(_verify(kept(new, "jaccard-rest"), sets), "jaccard-links")
         if not more.isEmpty():
             label_of = components(links.union(more))
@@ -322,12 +366,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return members.join(table, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _explode(groups: DataFrame) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b["a"], pa.array([np.frombuffer(x.as_py(), np.int64) for x in b["members"]], pa.list_(pa.int64()))], ["a", "ids"])
+def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of members of a group that sizes and sketches allow and whose classes differ.
 
-    return groups.mapInArrow(work, "a long, ids array<long>")
+    A group is cut into blocks of about BLOCK members; a task compares two blocks, so none holds a whole large group."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b["members"].to_pylist():
+                ids = np.frombuffer(x, np.int64)
+                key = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+                n = -(-len(ids) // BLOCK)
+                own = np.arange(len(ids)) // BLOCK
+                yield pa.record_batch([pa.array(np.full(len(ids), key)), pa.array(ids), pa.array(own), pa.array(np.full(len(ids), n))], ["group", "id", "own", "blocks"])
+
+    rows = groups.distinct().mapInArrow(members, "group long, id long, own long, blocks long")
+    rows = rows.join(label_of, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    split = rows.groupBy("group").agg((F.min("label") < F.max("label")).alias("split")).where("split").select("group")
+    rows = rows.join(split, "group", "left_semi").join(sets.select(F.col("set_id").alias("id"), "size", "sketch"), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        ids, size, label, own = (group[c].to_numpy() for c in ("id", "size", "label", "own"))
+        raw = [np.frombuffer(x, np.uint8) for x in group["sketch"].to_pylist()]
+        width = min(map(len, raw))
+        bits = np.stack([_folded(x, width) for x in raw])
+        same_block = key[1].as_py() == key[2].as_py()
+        left, right = [], []
+        for i in range(len(ids)):
+            near = np.flatnonzero((label != label[i]) & (ids > ids[i]) & (same_block | (own != own[i])))
+            most = _most_apart(size[i], size[near])
+            near, most = near[most >= 0], most[most >= 0]
+            near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64) <= most]
+            left.append(np.full(len(near), ids[i]))
+            right.append(ids[near])
+        return pa.table([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    keyed = rows.select("group", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "size", "label", "own", "sketch")
+    return keyed.groupBy("group", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _classes_of(pairs: DataFrame, label_of: DataFrame) -> DataFrame:
