@@ -119,8 +119,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = find(rows, train(rows))
-    count = [F.size(F.filter(BASE, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *count, F.sha2(joined(F.col(BASE)), 256).alias("base_sha256"), joined(F.col(ALL)).alias("spans"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter(BASE, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    return found.select("doc_id", *map(count, range(3)), F.sha2(joined(F.col(BASE)), 256).alias("base_sha256"), joined(F.col(ALL)).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
