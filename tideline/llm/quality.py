@@ -53,9 +53,9 @@ MIX = (np.arange(256, dtype=np.int64) + 7) * (np.arange(256, dtype=np.int64) + 3
 
 def terms(texts: list[str]) -> np.ndarray:
     """Term counts: a row for each text."""
-    raw = np.frombuffer("\0".join(texts).encode() + b"\0", np.uint8)
-    ends = np.flatnonzero(raw == 0) if not any("\0" in t for t in texts) else np.cumsum([len(t.encode()) + 1 for t in texts]) - 1
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends, prepend=-1))
+    parts = [t.encode() for t in texts]
+    raw = np.frombuffer(b"\0".join([b"", *parts, b""]), np.uint8)  # a NUL before the first text and after each
+    owner = np.concatenate([[-1], np.repeat(np.arange(len(texts)), [len(p) + 1 for p in parts])]).astype(np.int32)
     width = WIDTH
     group = GROUPS[raw]
     kept = np.flatnonzero((group != np.concatenate([[255], group[:-1]])) | (group > 3))
