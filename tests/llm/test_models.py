@@ -117,6 +117,6 @@ def test_subword_cache_survives_a_reset(monkeypatch):
     sub = lm.Subwords(queries.BYTE_BPE)
     model = attention.train([np.array([1, 2, 3])], sub.size, sub.start, sub.end, steps=2)
     texts = ["a b c d e f", "g h i j", ""]
-    first = lm.score_slice(texts, np.zeros(11, np.int64), 0, 0, sub, model)
-    again = lm.score_slice(texts, np.zeros(11, np.int64), 0, 0, sub, model)
+    first = lm.score_slice(texts, np.zeros(11, np.int64), 0, 0, 0.5, sub, model)
+    again = lm.score_slice(texts, np.zeros(11, np.int64), 0, 0, 0.5, sub, model)
     assert np.allclose(first[3], again[3]) and first[0].tolist() == [7, 5, 1]
