@@ -11,6 +11,12 @@ def sf():
     return SF
 
 
+@pytest.fixture(scope="session")
+def sf_more():
+    """The smallest tables hold no secrets; these do."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}

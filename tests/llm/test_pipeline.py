@@ -14,8 +14,8 @@ def stages(spark, folder):
     return out
 
 
-def test_stages_keep_columns_and_take_effect(spark, sf):
-    docs, good, known, single, masked, packed = stages(spark, sf)
+def test_stages_keep_columns_and_take_effect(spark, sf_more):
+    docs, good, known, single, masked, packed = stages(spark, sf_more)
     for step in (good, known, single, masked):
         assert step.columns == docs.columns
     counts = [x.count() for x in (docs, good, known, single, masked)]
@@ -23,7 +23,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
     assert single.select("text").distinct().count() == counts[3]
     assert masked.where("text like '%[SECRET]%'").count() > 0
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in masked.select("doc_id").collect()}
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    labels = spark.read.parquet(f"{sf_more}/labels.parquet")
     lost = docs.join(good, "doc_id", "left_anti").join(labels, "doc_id")
     wrong, all_good = lost.where("quality = 1").count(), labels.where("quality = 1").count()
     assert wrong <= 0.03 * all_good

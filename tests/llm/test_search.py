@@ -164,8 +164,10 @@ SECRETS = [
 ]
 
 
-def test_op9_equals_brute_force(spark, sf, odd_dir, empty_dir, documents, odd_texts, tmp_path):
-    check_secrets(queries.op9_secrets(spark, sf).collect(), documents.items())
+def test_op9_equals_brute_force(spark, sf_more, odd_dir, empty_dir, odd_texts):
+    documents = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_more}/documents.parquet").select("doc_id", "text").collect()]
+    assert any(base_spans(t) for _, t in documents)
+    check_secrets(queries.op9_secrets(spark, sf_more).collect(), documents)
     check_secrets(queries.op9_secrets(spark, odd_dir).collect(), odd_texts)
     df = spark.createDataFrame(SECRETS, "doc_id long, text string")
     rows = secrets.scan(df).collect()
@@ -175,8 +177,8 @@ def test_op9_equals_brute_force(spark, sf, odd_dir, empty_dir, documents, odd_te
     assert queries.op9_secrets(spark, empty_dir).count() == 0
 
 
-def test_op9_models_find_what_the_rules_miss(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+def test_op9_models_find_what_the_rules_miss(spark, sf_more):
+    docs = spark.read.parquet(f"{sf_more}/documents.parquet").select("doc_id", "text")
     table = secrets.train(docs)
     extra = spark.createDataFrame([(6, SECRETS[5][1])], "doc_id long, text string")
     got = secrets.find(extra, table).select(secrets.joined(secrets.F.col(secrets.ALL)).alias("s")).first()["s"]
