@@ -14,7 +14,8 @@ one the pairs with its first member and the list of members. Two exact tests pre
 parity sketches (a bit per hash bucket, the parity of its shingles; two sets differ in at least as many shingles as
 their sketches in bits). Each set's most frequent pair is verified first on the full sets (40-bit shingle hashes), then
 what still spans two of the classes known. Where a large group holds members of several classes after that, its
-members are compared by sketch in blocks of bounded size, and what passes is verified. Links' classes come from label
+members are compared by sketch in blocks of bounded size: a first round takes from each block only pairs that would
+join its classes, a forest, and verifies those; the last one takes every pair whose classes still differ. Links' classes come from label
 propagation with pointer jumping, in tables; nothing about documents is gathered on the driver.
 
 Null and empty texts have no set, are linked with nothing and form their own class. Fewer words than WORDS make one
@@ -235,8 +236,8 @@ def _sized_join(big: DataFrame, small: DataFrame, n: int, on: str) -> DataFrame:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """A bit per bucket of the hashes' low bits: whether it holds an odd number; about as many buckets as hashes."""
-    size = 1 << max(6, int(len(s) - 1).bit_length())
+    """A bit per bucket of the hashes' low bits: whether it holds an odd number; two to four times as many buckets as hashes."""
+    size = 1 << max(7, int(len(s) - 1).bit_length() + 1)
     odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -356,20 +357,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = found.where("members is not null").select("a", "members")
     open_groups = groups.join(missed.select("a").distinct(), "a", "left_semi").select("members")
     if not open_groups.isEmpty():
-        new = _within(open_groups, label_of, sets).join(possible, ["a", "b"], "left_anti")
-        more = kept(_verify(kept(new, "jaccard-rest"), sets), "jaccard-links")
-        if not more.isEmpty():
-            label_of = components(links.union(more))
+        open_groups = kept(open_groups.distinct(), "jaccard-groups")
+        for forest in (True, False):
+            more = kept(_verify(kept(_within(open_groups, label_of, sets, forest), "jaccard-rest"), sets), "jaccard-links")
+            if not more.isEmpty():
+                links = links.union(more)
+                label_of = components(links)
     least = reps.join(label_of.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     table = least.join(smallest, "label").select("set_id", "component_id")
     return members.join(table, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame) -> DataFrame:
+def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     """Distinct pairs (a, b) of members of a group that sizes and sketches allow and whose classes differ.
 
-    A group is cut into blocks of about BLOCK members; a task compares two blocks, so none holds a whole large group."""
+    forest: of these, no more pairs from a comparison than join its classes, were they all links. A group is cut into blocks of about BLOCK members; a task compares two blocks, so none holds a whole large group."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,7 +383,7 @@ def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame) -> DataFram
                 own = np.arange(len(ids)) // BLOCK
                 yield pa.record_batch([pa.array(np.full(len(ids), key)), pa.array(ids), pa.array(own), pa.array(np.full(len(ids), n))], ["group", "id", "own", "blocks"])
 
-    rows = groups.distinct().mapInArrow(members, "group long, id long, own long, blocks long")
+    rows = groups.mapInArrow(members, "group long, id long, own long, blocks long")
     rows = rows.join(label_of, "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = rows.groupBy("group").agg((F.min("label") < F.max("label")).alias("split")).where("split").select("group")
     rows = rows.join(split, "group", "left_semi").join(sets.select(F.col("set_id").alias("id"), "size", "sketch"), "id")
@@ -392,12 +395,17 @@ def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame) -> DataFram
         width = min(map(len, raw))
         bits = np.stack([_folded(x, width) for x in raw])
         same_block = key[1].as_py() == key[2].as_py()
+        root = label.copy()
         left, right = [], []
         for i in range(len(ids)):
-            near = np.flatnonzero((label != label[i]) & (ids > ids[i]) & (same_block | (own != own[i])))
+            near = np.flatnonzero((root != root[i]) & (ids > ids[i]) & (same_block | (own != own[i])))
             most = _most_apart(size[i], size[near])
             near, most = near[most >= 0], most[most >= 0]
             near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64) <= most]
+            if forest and len(near):
+                roots, at = np.unique(root[near], return_index=True)
+                near = near[at]
+                root[np.isin(root, roots)] = root[i]
             left.append(np.full(len(near), ids[i]))
             right.append(ids[near])
         return pa.table([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
