@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import squared_distance
 from .ordered import Stream, previous, ranked, running
 
 #: Longest run that one run-length operation holds.
@@ -29,21 +30,24 @@ def changed_by(df: DataFrame, stream: Stream, value: Column, over: float, name:
 
 
 def dead_band(df: DataFrame, segment_keys: list[str], place: str, value: str, skip: Column | float, sources: int = 1) -> DataFrame:
-    """The rows of bounded segments whose squared distance to the last row sent is above `skip`.
+    """The rows of bounded segments with `sent`: whether their squared distance to the last row sent is above `skip`.
 
-    A segment's first `sources` rows are always sent, and a row is compared with the last one sent of its place modulo
-    `sources`. Sending depends on what was sent, so this is a fold; segments are bounded (see segmented), so a fold is
-    one small array. Returns segment keys, place, value and `sent`."""
-    rows = df.groupBy(*segment_keys).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col(value).cast("double").alias("value")))).alias("rows"))
+    The value is a number or a vector of numbers. A segment's first `sources` rows are always sent, and a row is
+    compared with the last one sent of its place modulo `sources`. Sending depends on what was sent, so this is a fold;
+    segments are bounded (see segmented), so a fold is one small array. Returns segment keys, place, value and `sent`."""
+    is_vector = df.schema[value].dataType.simpleString().startswith("array")
+    kind = "array<double>" if is_vector else "double"
+    rows = df.groupBy(*segment_keys).agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("long").alias("place"), F.col(value).cast(kind).alias("value")))).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
         lane = (x["place"] % sources).cast("int")
         last = F.get(acc["last"], lane)
-        send = last.isNull() | ((x["value"] - last) * (x["value"] - last) > skip)
+        apart = squared_distance(x["value"], last) if is_vector else (x["value"] - last) * (x["value"] - last)
+        send = last.isNull() | (apart > skip)
         kept = F.transform(acc["last"], lambda v, i: F.when((i == lane) & send, x["value"]).otherwise(v))
         return F.struct(kept.alias("last"), F.array_append(acc["out"], F.struct(x["place"].alias("place"), x["value"].alias("value"), send.alias("sent"))).alias("out"))
 
-    start = F.struct(F.array_repeat(F.lit(None).cast("double"), sources).alias("last"), F.array().cast("array<struct<place:bigint,value:double,sent:boolean>>").alias("out"))
+    start = F.struct(F.array_repeat(F.lit(None).cast(kind), sources).alias("last"), F.array().cast(f"array<struct<place:bigint,value:{kind},sent:boolean>>").alias("out"))
     folded = rows.select(*segment_keys, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("x"))
     return folded.select(*segment_keys, F.col("x.place").alias(place), F.col("x.value").alias(value), "x.sent")
 
