@@ -1,6 +1,9 @@
 """Every registered query with SQL against DuckDB on the smallest tables, and the driver's contract."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -42,3 +45,8 @@ def test_contract(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and set(catalog.QUERIES) <= set(names)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True, timeout=120)

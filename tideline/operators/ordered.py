@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Stream:
-    """How a table is a set of ordered streams: key columns, order columns (a total order) and the block of a row."""
+    """How a table is a set of ordered streams: key columns, order columns (a total order) and the block of a row.
+
+    The block is a column or an SQL expression; the latter can be stated before there is a session."""
 
     keys: list[str]
     order: list[str]
-    block: Column
+    block: Column | str
 
 
 #: Kinds of running values: the aggregate, and how an earlier value and a later one combine.
@@ -41,7 +43,8 @@ def running(df: DataFrame, stream: Stream, values: dict[str, tuple[str, Column]]
     way = F.desc_nulls_last if reverse else F.asc_nulls_first
     order, keys = [way(c) for c in stream.order], stream.keys
     names = list(values)
-    blocked = df.withColumns({"_block": stream.block} | {f"_v_{n}": e for n, (_, e) in values.items()})
+    block = F.expr(stream.block) if isinstance(stream.block, str) else stream.block
+    blocked = df.withColumns({"_block": block} | {f"_v_{n}": e for n, (_, e) in values.items()})
     until = 0 if with_own else -1
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
     before = Window.partitionBy(*keys).orderBy(way("_block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -10,8 +10,8 @@ from tideline.operators import asof, cluster, intervals, ladder, ordered, segmen
 from tideline.operators.ordered import Stream
 from tideline.sources import subtitles
 
-USERS = Stream(["user_id"], ["ts", "event_id"], F.to_date("ts"))
-CUSTOMERS = Stream(["o_custkey"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536))
+USERS = Stream(["user_id"], ["ts", "event_id"], "to_date(ts)")
+CUSTOMERS = Stream(["o_custkey"], ["o_orderkey"], "floor(o_orderkey / 65536)")
 #: Jump of a value that starts a segment, rows of a segment at most, squared distance that counts as a change.
 JUMP, LONGEST, SKIP = 100.0, 20, 600.0
 #: Second since which event times count.
