@@ -22,7 +22,7 @@ def layout(w: Column, h: Column, half_res: Column) -> Column:
     box_w, box_h = (F.when(half_res, n // 2).otherwise(n).cast("long") for n in (SCREEN_W, SCREEN_H))
     w, h = w.cast("long"), h.cast("long")
     wide = w * box_h >= h * box_w  # the width decides
-    fit_w = F.when((w <= 0) | (h <= 0) | wide, box_w).otherwise(F.expr("1") * F.floor(w * box_h / h))
+    fit_w = F.when((w <= 0) | (h <= 0) | wide, box_w).otherwise(F.floor(w * box_h / h))
     fit_h = F.when((w <= 0) | (h <= 0) | ~wide, box_h).otherwise(F.floor(h * box_w / w))
     out_w, out_h = (F.greatest(_even(x.cast("long")), F.lit(2)) for x in (fit_w, fit_h))
     return F.struct(out_w.alias("w"), out_h.alias("h"), _even(F.floor((box_w - out_w) / 2)).alias("x_off"), F.floor((box_h - out_h) / 2).cast("long").alias("y_off"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import Stream, running
+
 # The quality steps, best first (half resolution, frames a second, codebook size, skip threshold).
 STEPS = [
     (False, 20, 256, 600),
@@ -33,14 +35,11 @@ def first_fit(costs: DataFrame, keys: list[str], step: str, cost: Column, second
     """For each key the first step whose total cost is within the limit, or how many seconds the best step held.
 
     costs: a row per key, step and segment, with what the segment costs and how many seconds it lasts, in order of its
-    column `segment`. A step's seconds are those of its segments before the first that doesn't fit. Segments of a
-    (key, step) are summed before they meet: no order is needed for a step that fits, and only the others are scanned.
+    column `segment`. A step's seconds are those of its segments before the first that doesn't fit: costs are positive,
+    so the running sum tells. Only totals per (key, step) meet.
     """
-    from .ordered import Stream, running
-
     rows = costs.withColumns({"_cost": cost, "_secs": seconds, "_limit": limit if isinstance(limit, Column) else F.lit(limit)})
     stream = Stream([*keys, step], ["segment"], F.floor(F.col("segment") / 4096))
-    # a segment fits while the largest running sum so far does; costs are positive, so the sum itself tells
     held = running(rows, stream, {"_used": ("sum", F.col("_cost"))})
     totals = held.groupBy(*keys, step).agg((F.sum("_cost") <= F.first("_limit")).alias("fits"), F.sum(F.when(F.col("_used") <= F.col("_limit"), F.col("_secs"))).alias("secs"))
     return totals.groupBy(*keys).agg(F.min(F.when(F.col("fits"), F.col(step))).alias("step_no"), F.max(F.when(~F.col("fits"), F.coalesce("secs", F.lit(0)))).alias("held_secs")).withColumn("best_secs", F.when(F.col("step_no").isNull(), F.col("held_secs"))).drop("held_secs")
