@@ -39,7 +39,7 @@ from .words import joined, mix, per_text, words
 #: Words of a shingle; similarity as a fraction (80 / 100).
 WORDS, PERCENT = 5, 80
 #: Bytes of text a task handles at once; signatures a bucket should hold, about; the fewest buckets.
-SLICE, PER_BUCKET, FEWEST = 2 << 20, 1_500_000, 64
+SLICE, PER_BUCKET, FEWEST = 1 << 20, 1_000_000, 64
 #: Members up to which a signature's group gives all its pairs.
 SMALL_GROUP = 4
 #: Members of a large group that a task compares with as many others, about.

@@ -23,7 +23,7 @@ from .bpe import byte_letters
 from .common import runs, single_thread
 
 #: Different parts kept in a worker's memory before it starts anew.
-PARTS_KEPT = 700_000
+PARTS_KEPT = 250_000
 #: Bytes of text encoded at once: the more, the fewer parts are looked up again.
 TOKEN_SLICE = 8 << 20
 #: How byte-level vocabularies split a text.
