@@ -38,3 +38,13 @@ def test_run_equals_its_stages(spark, sf):
 def test_odd_and_empty_tables(spark, odd_dir, empty_dir):
     corpus_pipeline.run(spark, odd_dir).collect()
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_language_stage_drops_unlearned_languages_and_keeps_labelled_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = ["съешь же ещё этих мягких французских булок да выпей чаю", "xkqj zzvw qqpt hhgf bnmk lkjh wwxz qqjj vvkz", "いろはにほへと ちりぬるを わかよたれそ"]
+    extra = spark.createDataFrame([(-i - 1, t, None, "odd", len(t)) for i, t in enumerate(odd)], docs.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, docs.union(extra), sf).select("doc_id").collect()}
+    assert not got & {-1, -2, -3}
+    clean = {r["doc_id"] for r in docs.where("lang is not null and length(text) > 100").select("doc_id").collect()}
+    assert len(clean) > 100 and len(clean & got) >= 0.99 * len(clean)

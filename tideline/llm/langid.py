@@ -8,7 +8,9 @@ counted per language, the counts are corrected for the filter's false positives
 and the highest corrected count decides. Its share of all corrected counts is the score.
 
 Texts that are null or have no letter get `und` and score 0; so does every text where nothing has been learned. A tie
-goes to the language whose name sorts first. Rows are independent (no shuffle); repeated rows repeat; an empty table
+goes to the language whose name sorts first. The score says which language is likeliest, not whether the text is in any;
+for that, keep() asks what share of the text's own n-grams the best language knows, and calibrate() learns how much of
+it labelled texts have. Rows are independent (no shuffle); repeated rows repeat; an empty table
 gives an empty result; only the id, text and (in training) language columns are used. What the driver gets is bounded:
 SAMPLE_DOCS texts per language give at most GRAMS n-grams per language.
 """
@@ -31,6 +33,8 @@ SAMPLE_DOCS, GRAMS = 1_500, 20_000
 #: Bytes of an n-gram; share of a language's texts that must hold it; slots looked up per n-gram; slots per n-gram.
 N, LEAST_SHARE, HASHES, ROOM = 5, 0.02, 3, 16
 UNKNOWN = "und"
+#: For keep(): every how many-th labelled text calibrates; the part of a language's low evidence that is enough; the share of its texts below that low; steps of the histogram.
+FOLDS, LEAST_PART, LOW_SHARE, STEPS = 5, 0.25, 0.05, 1_000
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -110,13 +114,11 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAM
     return build({k: np.array(v[:grams], np.int64).view(np.uint64) for k, v in got.items()})
 
 
-def classify(filters: Filters, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def _hits(filters: Filters, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: whether it has a letter, its number of n-grams, and each language's corrected count of them."""
     n = len(texts)
     letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
     texts = pc.fill_null(texts, "")
-    if not filters.languages or not n:
-        return [UNKNOWN] * n, np.zeros(n)
     sizes = np.asarray(pc.binary_length(texts)).astype(np.int64)
     # every text between N - 1 NULs, so that no n-gram joins two texts unless it holds a NUL; blanks mark both ends
     raw = np.frombuffer(("\0" * (N - 1)).join([f" {t} " for t in texts.to_pylist()]).encode(), np.uint8)
@@ -131,12 +133,28 @@ def classify(filters: Filters, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         bits = np.concatenate([[0], np.cumsum(word >> word.dtype.type(i % 64) & word.dtype.type(1), dtype=np.int64)])
         at = bits[np.minimum(bounds, len(bits) - 1)].reshape(-1, 2)
         counts[:, i] = at[:, 1] - at[:, 0]
-    fair = np.maximum(counts - total[:, None] * filters.false_rate, 0) / (1 - np.minimum(filters.false_rate, 0.999))
+    return letters, total, np.maximum(counts - total[:, None] * filters.false_rate, 0) / (1 - np.minimum(filters.false_rate, 0.999))
+
+
+def classify(filters: Filters, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    n = len(texts)
+    if not filters.languages or not n:
+        return [UNKNOWN] * n, np.zeros(n)
+    letters, _, fair = _hits(filters, texts)
     winner, whole = fair.argmax(1), fair.sum(1)
     score = np.where(letters, np.where(whole > 0, fair.max(1) / np.maximum(whole, 1e-9), 1 / len(filters.languages)), 0.0)
     return [filters.languages[w] if ok else UNKNOWN for w, ok in zip(winner.tolist(), letters.tolist(), strict=True)], score
 
 
+def evidence(filters: Filters, texts: pa.Array) -> np.ndarray:
+    """(texts, languages): the share of each text's n-grams that a language knows, corrected; 0 for a text without letters."""
+    if not filters.languages or not len(texts):
+        return np.zeros((len(texts), len(filters.languages)))
+    letters, total, fair = _hits(filters, texts)
+    return np.where(letters[:, None], np.minimum(fair / np.maximum(total, 1)[:, None], 1.0), 0.0)
+
+
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every text."""
     model = docs.sparkSession.sparkContext.broadcast(filters)  # at most 2 MB for each 8 languages
@@ -150,14 +168,47 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
-    """The rows of docs (with a text column) that have a language with a score of `least` or more, unchanged; no shuffle."""
+def calibrate(labelled: DataFrame) -> dict[str, float]:
+    """The least evidence of each language: LEAST_PART of what all but LOW_SHARE of its texts have in filters learned without them.
+
+    Every FOLDS-th labelled text is measured with filters of the others; a language without such texts gets 0."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(FOLDS))
+    filters = train(rows.where(part != 0))
+    model = labelled.sparkSession.sparkContext.broadcast(filters)
+    place = {name: i for i, name in enumerate(filters.languages)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, limit=1 << 20):
+                own = np.array([place.get(x, -1) for x in b["lang"].to_pylist()], np.int64)
+                known = np.flatnonzero(own >= 0)
+                share = evidence(model.value, b["text"])[known, own[known]]
+                yield pa.record_batch([b["lang"].take(pa.array(known)), pa.array((share * STEPS).astype(np.int32))], ["lang", "step"])
+
+    counts = rows.where(part == 0).select("lang", "text").mapInArrow(work, "lang string, step int").groupBy("lang", "step").count().collect()  # STEPS + 1 rows a language at most
+    least: dict[str, float] = {}
+    for name in filters.languages:
+        of = sorted((r["step"], r["count"]) for r in counts if r["lang"] == name)
+        if of:
+            below = np.cumsum([n for _, n in of])
+            least[name] = LEAST_PART * of[int(np.searchsorted(below, LOW_SHARE * below[-1], "right"))][0] / STEPS
+    return least
+
+
+def keep(docs: DataFrame, filters: Filters, least: dict[str, float]) -> DataFrame:
+    """The rows of docs (with a text column) whose best language knows at least its `least` share of the text's n-grams, and any at all; unchanged, no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(filters)
+    enough = np.array([least.get(name, 0.0) for name in filters.languages])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, limit=1 << 20):
-                names, score = classify(model.value, b["text"])
-                yield b.filter(pa.array((np.array(names, object) != UNKNOWN) & (score >= least)))
+                share = evidence(model.value, b["text"])
+                if not share.size:
+                    yield b.slice(0, 0)
+                    continue
+                best = share.max(1)
+                yield b.filter(pa.array((best > 0) & (best >= enough[share.argmax(1)])))
 
     return docs.mapInArrow(work, docs.schema)
