@@ -84,6 +84,25 @@ def test_op5_large_groups_and_pairs_near_the_limit(spark, seed, monkeypatch):
     assert got_classes(jaccard.classes(df)) == brute_classes(numbered)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_op5_links_are_all_counted(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    rng = random.Random(3)
+    texts = ["", "a b", "a b"]
+    for size, n in ((200, 25), (90, 12), (14, 3)):
+        base = [f"w{rng.randrange(4000)}" for _ in range(size)]
+        for _ in range(n):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                words[rng.randrange(size)] = f"x{rng.randrange(4000)}"
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    rows = jaccard.links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert max(want.values()) > 12 and {r["doc_id"]: r["n_links"] for r in rows} == want and len(rows) == len(texts)
+
+
 def test_keep_first_keeps_one_of_each_class(spark, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     kept = jaccard.keep_first(docs)

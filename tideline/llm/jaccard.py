@@ -18,6 +18,8 @@ members are compared by sketch in blocks of bounded size: a first round takes fr
 join its classes, a forest, and verifies those; the last one takes every pair whose classes still differ. Links' classes come from label
 propagation with pointer jumping, in tables; nothing about documents is gathered on the driver.
 
+classes() verifies only the links that its classes need; links() verifies and counts all of them, class by class.
+
 Null and empty texts have no set, are linked with nothing and form their own class. Fewer words than WORDS make one
 shingle of all. Repeated rows share a class. An empty table gives an empty result; other columns are ignored.
 """
@@ -44,6 +46,8 @@ SLICE, PER_BUCKET, FEWEST = 1 << 20, 1_000_000, 64
 SMALL_GROUP = 4
 #: Members of a large group that a task compares with as many others, about.
 BLOCK = 1_024
+#: Sets of a block of links(), about, and how many shingles are compared at once there.
+LINK_BLOCK, COLUMNS = 256, 4_096
 #: Rows up to which the ids of candidate sets are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -256,6 +260,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for b in slices(batch, limit=SLICE):
                 sets = shingle_sets(b["text"].to_pylist())
+                # rows that share a doc_id can have other sets
+                same = np.flatnonzero([len(s) > 0 and set_id(s) == i for s, i in zip(sets, b["set_id"].to_pylist(), strict=True)])
+                sets, b = [sets[i] for i in same], b.take(pa.array(same, pa.int64()))
                 data = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes() for s in sets]
                 columns = [b["set_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity, sets), pa.binary()), pa.array(data, pa.binary())]
                 yield pa.record_batch(columns, ["set_id", "size", "sketch", "hashes"])
@@ -421,6 +428,72 @@ def _classes_of(pairs: DataFrame, label_of: DataFrame) -> DataFrame:
     return pairs
 
 
+def _links_in(ids: np.ndarray, copies: np.ndarray, own: np.ndarray, hashes: list[np.ndarray], within: bool) -> np.ndarray:
+    """Of each set, the copies of the other sets that it links to; within: else only of those in the other block."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    whose = np.repeat(np.arange(len(ids)), sizes)
+    _, column, seen = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    number = np.cumsum(seen > 1) - 1
+    whose, column = whose[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    whose, column = whose[order], column[order]
+    common = np.zeros((len(ids), len(ids)), np.float32)  # whole numbers below 2**24
+    for at in range(0, int((seen > 1).sum()), COLUMNS):
+        a, z = np.searchsorted(column, (at, at + COLUMNS))
+        holds = np.zeros((len(ids), min(COLUMNS, int(column[z - 1]) - at + 1)), np.float32)
+        holds[whose[a:z], column[a:z] - at] = 1
+        common += holds @ holds.T
+    both = common.astype(np.int64)
+    linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(linked, False)
+    if not within:
+        linked &= own[:, None] != own[None, :]
+    return linked @ copies
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): the number of other rows that each row links to, all of them verified.
+
+    A link joins two rows of a class, so every two different sets of a class are compared on their full sets, equal ones being linked anyway. A class of more than LINK_BLOCK sets is cut into blocks by hash of the set, and a task compares two blocks; smaller classes share tasks."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = kept(classes(rows), "links-classes")
+    of = kept(found.where("set_id is not null and component_id is not null").groupBy("set_id").agg(F.min("component_id").alias("label"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "links-sets")
+    classes_of_many = kept(of.groupBy("label").agg(F.count("*").alias("m")).where("m > 1"), "links-labels")
+    large = F.broadcast(classes_of_many.where(F.col("m") > LINK_BLOCK))  # one for LINK_BLOCK sets at most
+    small = classes_of_many.where(F.col("m") <= LINK_BLOCK)
+    n_small = small.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    n_buckets = max(1, n_small // (2 * LINK_BLOCK))
+    zero = F.lit(0).cast("long")
+    blocks = F.ceil(F.col("m") / LINK_BLOCK)
+    in_large = of.join(large, "label").withColumn("own", F.pmod(F.xxhash64("set_id"), blocks)).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+    in_large = in_large.select("set_id", "doc_id", "label", "copies", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("label").alias("cell"))
+    in_small = _sized_join(of.join(large, "label", "left_anti"), small, n_small, "label")
+    in_small = in_small.select("set_id", "doc_id", "label", "copies", zero.alias("own"), zero.alias("x"), zero.alias("y"), F.pmod(F.xxhash64("label"), F.lit(n_buckets)).alias("cell"))
+    placed = kept(in_large.union(in_small), "links-places")
+    hashes = _sets(rows, kept(placed.select("doc_id", "set_id").distinct(), "links-wanted")).select("set_id", "hashes")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        label, ids = group["label"].to_numpy(), group["set_id"].to_numpy()
+        order = np.lexsort((ids, label))
+        order = order[np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(label[order]) != 0)])]  # a set of repeated rows comes more than once
+        label, ids = label[order], ids[order]
+        copies, own = group["copies"].to_numpy()[order], group["own"].to_numpy()[order]
+        raw = group["hashes"].take(pa.array(order))
+        edge = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+        n = np.zeros(len(ids), np.int64)
+        for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
+            if z - a > 1:
+                n[a:z] = _links_in(ids[a:z], copies[a:z], own[a:z], [_widen(x.as_py(), 5) for x in raw[a:z]], key[1].as_py() == key[2].as_py())
+        return pa.table([pa.array(ids), pa.array(n)], ["set_id", "n"])
+
+    counted = placed.drop("doc_id").join(hashes, "set_id").groupBy("cell", "x", "y").applyInArrow(compare, "set_id long, n long")
+    others = kept(counted.groupBy("set_id").agg(F.sum("n").alias("n")).where("n > 0"), "links-counted")
+    copies = found.where("set_id is not null").groupBy("set_id").agg((F.count("*") - 1).alias("equal"))
+    of_set = kept(copies.join(others, "set_id", "left").select("set_id", (F.col("equal") + F.coalesce("n", F.lit(0))).alias("n_links")).where("n_links > 0"), "links-of-sets")
+    return found.join(of_set, "set_id", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, ...) without those whose class has a smaller doc_id; rows that share both doc_id and text count as one."""
     found = kept(classes(docs), "jaccard-classes")

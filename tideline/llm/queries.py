@@ -35,6 +35,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("set_id")
 
 
+def op5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lm.score(table(spark, sf_dir, "documents"), BYTE_BPE, fold(F.col("doc_id"), 7) != 2)
     return got.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -59,7 +63,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op5_links, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk)}
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: The two joins have DuckDB forms: all pairs by shared shingles, and all products. Models, tokenizers and media have none.
 ORACLE_SQL: dict[str, str] = {
