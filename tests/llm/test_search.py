@@ -103,6 +103,40 @@ def test_op5_links_are_all_counted(spark, block, monkeypatch):
     assert max(want.values()) > 12 and {r["doc_id"]: r["n_links"] for r in rows} == want and len(rows) == len(texts)
 
 
+def test_op5_null_and_repeated_ids_lose_no_link(spark):
+    words = [f"w{i}" for i in range(40)]
+    near, other = [*words[:-1], "x"], [f"v{i}" for i in range(40)]
+    rows = [(None, words), (5, near), (9, words[:20]), (9, other), (3, words), (None, other), (None, [f"u{i}" for i in range(9)]), (None, [f"u{i}" for i in range(9)])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_classes(jaccard.classes(df)) == brute_classes(rows)
+    sets = [shingles(t) for _, t in rows]
+    linked = Counter((d, sum(i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets))) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True)))
+    assert Counter((r["doc_id"], r["n_links"]) for r in jaccard.links(df).collect()) == linked
+    kept = Counter(map(tuple, jaccard.keep_first(df).collect()))
+    assert kept == Counter([rows[4], rows[2], rows[3], rows[6]])
+
+
+def test_op5_overgrown_buckets_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_IN_BUCKET", 40)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(11)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for _ in range(90):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([2, 8, 9, 10, 11, 12]))]
+        cut = rng.randrange(len(words))
+        texts.append(" ".join([*words[:cut], *passage, *words[cut:]]))
+    numbered = list(enumerate(texts))
+    found = jaccard._candidates(jaccard._blocks(jaccard._keyed(spark.createDataFrame(numbered, "doc_id long, text string"), "doc_id", "text"), 2), 40)
+    assert found.where("sigs is not null").count() > 0
+    assert got_classes(jaccard.classes(spark.createDataFrame(numbered, "doc_id long, text string"))) == brute_classes(numbered)
+
+
+def test_op5_counts_of_common_hashes():
+    a, b = np.array([1, 2, 2, 5, 9], np.uint64), np.array([2, 5, 7], np.uint64)
+    assert jaccard.in_common(a, b) == (2, 1) and jaccard.in_common(a, a[:0]) == (0, 0)
+
+
 def test_keep_first_keeps_one_of_each_class(spark, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     kept = jaccard.keep_first(docs)

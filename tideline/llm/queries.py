@@ -32,7 +32,7 @@ def op4_arrow_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(table(spark, sf_dir, "documents")).drop("set_id")
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
