@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -107,11 +107,12 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, grams: int = GRAM
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     taken = {k: min(n, sample_docs) for k, n in sizes.items()}
     least = F.create_map(*[F.lit(x) for k, n in taken.items() for x in (k, max(1.0, LEAST_SHARE * n))])
-    common = counts.where(F.col("n") >= F.element_at(least, F.col("lang"))).orderBy(F.desc("n"), "gram").limit(grams * len(sizes)).collect()  # bounded by GRAMS per language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    common = counts.where(F.col("n") >= F.element_at(least, F.col("lang"))).withColumn("rank", rank).where(F.col("rank") <= grams).select("lang", "gram").collect()  # at most GRAMS of each language
     got: dict[str, list[int]] = {k: [] for k in sizes}
     for r in common:
         got[r["lang"]].append(r["gram"])
-    return build({k: np.array(v[:grams], np.int64).view(np.uint64) for k, v in got.items()})
+    return build({k: np.sort(np.array(v, np.int64)).view(np.uint64) for k, v in got.items()})
 
 
 def _hits(filters: Filters, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
