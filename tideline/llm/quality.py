@@ -8,7 +8,7 @@ broadcast (their size is fixed by the parameters). For every document all cosine
 are computed in blocks, exactly, and the NEAREST labels vote, weighted by a power of their similarity.
 
 A text without terms (null, empty) and every text where nothing was labelled gets the sample's share of label 1, or
-0.5. Equal similarities share the vote as they come in the sample's order. Rows are independent (no shuffle); repeated
+0.5. Where several labelled texts are equally near at the last place, they share what is left of the vote. Rows are independent (no shuffle); repeated
 rows repeat; an empty table gives an empty result; only id and text are used, and labels in training.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .words import words
 
 #: Labelled rows of each label that are used at most, about; terms of each sort; latent dimensions; voters; power of the similarity.
 SAMPLE_EACH, SHAPES, WORDS, REPEATS, LATENT, NEAREST, POWER = 1_500, 752, 256, 16, 48, 15, 8.0
@@ -47,8 +48,6 @@ def _groups() -> np.ndarray:
 
 
 GROUPS = _groups()
-#: A number for each byte; sums of them tell words apart.
-MIX = (np.arange(256, dtype=np.int64) + 7) * (np.arange(256, dtype=np.int64) + 301) * 40503
 
 
 def terms(texts: list[str]) -> np.ndarray:
@@ -71,13 +70,8 @@ def terms(texts: list[str]) -> np.ndarray:
         word = low[begin + 1].astype(np.int64) << 16 | low[begin + 2].astype(np.int64) << 8 | low[begin + 3]
         same = owner[begin + 1] == owner[np.minimum(begin + 3, len(owner) - 1)]
         keys.append(owner[begin + 1][same].astype(np.int64) * width + SHAPES + (word[same] * 2654435761 >> 7) % WORDS)
-    solid = group != 3
-    starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+    starts, _, word = words(np.where(raw == 0, np.uint8(32), raw))
     if len(starts) > 1:
-        stops = np.flatnonzero(~solid & np.concatenate([[False], solid[:-1]]))
-        total = np.concatenate([[0], np.cumsum(MIX[raw])])
-        length = stops - starts
-        word = total[stops] - total[starts] + length
         again = np.flatnonzero((word[1:] == word[:-1]) & (owner[starts[1:]] == owner[starts[:-1]])) + 1
         keys += [owner[starts[again]].astype(np.int64) * width + SHAPES + WORDS + i for i in range(REPEATS)]
     flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -106,13 +100,21 @@ class Voters:
                 continue
             cos = z @ self.vectors.T
             k = min(NEAREST, cos.shape[1])
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** POWER
-            whole = w.sum(1)
-            vote = (w * self.labels[near]).sum(1) / np.maximum(whole, 1e-300)
-            out.append(np.where(whole > 1e-9, vote, self.prior))
+            out.append(self._vote(cos, k))
         return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
+    def _vote(self, cos: np.ndarray, k: int) -> np.ndarray:
+        last = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+        who, near = np.nonzero(cos >= last[:, None])
+        similar = cos[who, near]
+        tied = similar == last[who]
+        above = np.bincount(who[~tied], minlength=len(cos))
+        share = np.where(tied, ((k - above) / np.maximum(np.bincount(who[tied], minlength=len(cos)), 1))[who], 1.0)
+        w = share * np.maximum(similar, 0).astype(np.float64) ** POWER
+        whole = np.bincount(who, weights=w, minlength=len(cos))
+        vote = np.bincount(who, weights=w * self.labels[near], minlength=len(cos)) / np.maximum(whole, 1e-300)
+        return np.where(whole > 1e-9, vote, self.prior)
+
 
 def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) -> Voters:
     """Voters from docs (doc_id, text) and labels (doc_id, label 0 or 1); other labels and null ones are ignored.
