@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; bounds the memory of Python workers.
 SLICE_BYTES = 4 << 20
-#: Used for checkpoints where spark.checkpoint.dir is unset (tests on one machine).
+#: Used for checkpoints where spark.checkpoint.dir is unset and everything runs in one process (tests, benchmarks).
 LOCAL_SHARED = "/tmp/tideline-shared"
 
 
@@ -29,11 +30,15 @@ def fold(key: Column, n: int) -> Column:
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below spark.checkpoint.dir, which all executors and the driver can open."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, what: str, spread: str | None = None) -> DataFrame:
+def kept(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: later steps never recompute it."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
@@ -41,11 +46,6 @@ def kept(df: DataFrame, what: str, spread: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, n: int) -> DataFrame:
-    """Rows dealt evenly over n tasks at least when the input has fewer splits."""
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `limit` bytes of text; a longer text comes alone."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)))
