@@ -77,6 +77,45 @@ def test_op3_packs_everything_tightly(spark, sf, documents, byte):
     assert least <= used <= min(decreasing, least * 1.02 + 2)
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_op3_program_is_near_its_bound(spark, sf_more, byte, times):
+    """Without best-fit's answer among its own, the program is as good as best-fit decreasing, and near the dual bound."""
+    rows = packing.pieces(spark.read.parquet(f"{sf_more}/documents.parquet"), queries.BYTE_BPE, 2, 1024).groupBy("length").count().collect()
+    histogram = {r["length"]: r["count"] * times for r in rows}
+    configs, least = packing.solve(histogram, 1024)
+    used = sum(n for _, n in configs)
+    assert least >= -(-sum(k * n for k, n in histogram.items()) // 1024)
+    assert least <= used <= 1.002 * sum(n for _, n in packing.best_fit(histogram, 1024))
+    assert used - least <= 2 + least // 200
+
+
+def test_op3_program_alone_places_most_pieces():
+    """A smooth histogram: fractional weights and their rounding place more than half; no length is covered twice."""
+    histogram = {k: 40_000 // k + 1 for k in range(20, 1000)}
+    weights, bound = packing.program(histogram, 1024)
+    covered = Counter()
+    for config, x in weights.items():
+        for k in config:
+            covered[k] += x
+    assert all(covered[k] <= n * (1 + 1e-6) for k, n in histogram.items())
+    assert bound <= sum(k * n for k, n in histogram.items()) / 1024 + 1
+    copies, left = packing.rounded(weights, histogram)
+    again, left = packing.rounded(packing.program(left, 1024)[0], left)
+    held = Counter()
+    for config, n in [*copies.items(), *again.items()]:
+        for k in config:
+            held[k] += n
+    assert held + Counter(left) == Counter(histogram)
+    assert sum(k * n for k, n in held.items()) >= 0.5 * sum(k * n for k, n in histogram.items())
+    used = sum(n for _, n in packing.solve(histogram, 1024)[0])
+    assert bound <= used <= sum(n for _, n in packing.best_fit(histogram, 1024))
+
+
+def test_op3_bound_is_above_the_area_where_lengths_do_not_fit():
+    assert packing.solve({600: 100, 700: 100}, 1024)[1] >= 150
+    assert sum(n for _, n in packing.solve({600: 100, 500: 130, 300: 80, 341: 222, 513: 50, 257: 301}, 1024)[0]) == 345
+
+
 def test_op3_odd_and_empty_tables(spark, odd_dir, empty_dir, odd_texts, byte):
     rows = queries.op3_packing(spark, odd_dir).collect()
     lengths = sum(len(byte.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in odd_texts)
@@ -93,7 +132,7 @@ def test_op3_odd_and_empty_tables(spark, odd_dir, empty_dir, odd_texts, byte):
 @pytest.mark.parametrize("histogram", [{}, {1024: 3}, {1: 5000}, {512: 7, 513: 7, 511: 7}, {i: i % 7 for i in range(1, 1025)}])
 def test_configurations_hold_the_histogram(histogram):
     held = Counter()
-    for config, n in packing.solve(histogram, 1024):
+    for config, n in packing.solve(histogram, 1024)[0]:
         assert sum(config) <= 1024
         for k in config:
             held[k] += n

@@ -2,11 +2,15 @@
 
 The pieces' length histogram (as many numbers as a sequence has tokens) is all the driver sees. A configuration is a
 multiset of lengths that fits a sequence; the linear program asks for the least total weight of configurations that
-covers every length's count. Multiplicative weights price the lengths: a length that lags behind in coverage grows
-dearer, one that is ahead grows cheaper. In each round a knapsack dynamic program over the capacity finds, for every
-length, the dearest configuration that holds it; it gets the round's share of its count, rounded to whole numbers, and
-the few pieces that remain are placed best-fit decreasing, still as counts. Then every piece, numbered within
-its length by counts of hash buckets, looks up its place in the table of configurations; no task holds a whole length.
+covers every length's count. Multiplicative weights price the lengths: in each of ROUNDS rounds a length's price is its
+size times the exponential of how far its coverage lags behind the rounds gone, and a knapsack dynamic program over the
+capacity finds, for every length that lags, the dearest configuration that holds it, whose weight grows by what is
+lacking. Prices over the dearest configuration's price are a solution of the dual program, so every round also bounds
+the number of sequences from below. The weights are then scaled so that no length is covered more than once, and rounded
+down to whole copies, the fractions of the configurations of one longest length being carried on together. The pieces
+that rounding leaves are placed best-fit decreasing, as counts; or the program is solved for them once more, if that takes fewer
+sequences. Then every piece, numbered within its length by counts of hash buckets, looks up its place in the table of
+configurations, whose size depends on rounds and lengths but not on the number of pieces; no task holds a whole length.
 
 Null texts count as empty. Equal documents are separate pieces. A doc_id that repeats gets separate places in no
 particular order. An empty table gives an empty result. Other columns are ignored.
@@ -14,8 +18,9 @@ particular order. An empty table gives an empty result. Other columns are ignore
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +32,9 @@ from .common import kept, runs, slices
 from .tokens import TOKEN_SLICE, encoder
 
 Config = tuple[int, ...]
-#: Rounds of the multiplicative weights, the steps that are tried, how convex the first prices are, and the share of a
-#: sequence that may stay empty before the last round.
-ROUNDS, STEPS, CONVEX, SLACK = 48, (0.0, 0.003, 0.01), 0.5, 0.002
+#: Rounds of the multiplicative weights, their step, how far below the dearest configuration's value one may be, and how
+#: often the program is solved at most.
+ROUNDS, STEP, SLACK, SOLUTIONS = 48, 0.1, 0.01, 2
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,53 +72,65 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nd
     return best, last
 
 
-def weigh(histogram: dict[int, int], capacity: int, step: float) -> list[tuple[Config, int]]:
-    """Configurations for the program's prices after each of ROUNDS rounds, in whole numbers; what they leave is placed best-fit.
-
-    Prices start a little convex in the length, so long pieces are placed while short ones can still fill their gaps.
-    A round gives each length's dearest tight configuration its share of the rounds left, rounded down to one or more
-    copies, as far as pieces remain; then a length that lags behind the others grows dearer, one ahead cheaper.
-    """
-    lengths = np.array(sorted(k for k, n in histogram.items() if n), np.int64)
-    counts = np.array([histogram[k] for k in lengths.tolist()], np.int64)
-    left, found = counts.copy(), defaultdict(int)
+def program(histogram: dict[int, int], capacity: int) -> tuple[dict[Config, float], float]:
+    """Weights of configurations that together cover no length more than its count, and a lower bound of the program."""
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[k] for k in lengths.tolist()], np.float64)
     place = {k: i for i, k in enumerate(lengths.tolist())}
-    values = lengths / capacity * (1 + CONVEX * lengths / capacity)
-    for rounds_left in range(ROUNDS, 0, -1):
-        open_ = np.flatnonzero(left > 0)
-        if not len(open_):
-            break
-        _, last = price(values[open_], lengths[open_], capacity)
-        for i in open_[::-1].tolist():
-            config, room = [int(lengths[i])], capacity - int(lengths[i])
-            while last[room]:
-                config.append(int(last[room]))
-                room -= config[-1]
-            if room > SLACK * capacity and rounds_left > 1:
+    covered, weight, bound = np.zeros(len(lengths)), defaultdict(float), 0.0
+    members: dict[Config, tuple[np.ndarray, np.ndarray]] = {}
+    prices = lengths / capacity
+    for done in range(1, ROUNDS + 1):
+        best, last = price(prices, lengths, capacity)
+        bound = max(bound, float(counts @ prices) / best[capacity])
+        for i in range(len(lengths) - 1, -1, -1):
+            lack = counts[i] * done / ROUNDS - covered[i]
+            room = capacity - int(lengths[i])
+            if lack <= 1e-9 or prices[i] + best[room] < (1 - SLACK) * best[capacity]:
                 continue
-            at, times = np.unique([place[x] for x in config], return_counts=True)
-            if most := int((left[at] // times).min()):
-                copies = max(1, most // rounds_left)
-                left[at] -= copies * times
-                found[tuple(sorted(config, reverse=True))] += copies
-        share = left / counts
-        values = values * np.exp(step * (share - left.sum() / counts.sum()))
-    for c, n in best_fit({int(k): int(n) for k, n in zip(lengths, left, strict=True)}, capacity):
-        found[c] += n
-    return sorted(found.items())
-
-
-def solve(histogram: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
-    """Configurations (lengths in falling order) and how often each is used; together they hold the histogram exactly.
-
-    The program is rounded from several steps of its weights and the fewest sequences count. The configurations of
-    best-fit decreasing on the same counts are one more rounding: on corpora with many short pieces that one is
-    within a sequence or two of the least possible number and can be better by a few than the program's own."""
-    part = {k: n for k, n in histogram.items() if n and k < capacity}
-    tries = [weigh(part, capacity, step) for step in STEPS] + [sorted(best_fit(part, capacity))]
-    best = min(tries, key=lambda t: sum(n for _, n in t))
-    full = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
-    return sorted([*best, *full])
+            held = [int(lengths[i])]
+            while last[room]:
+                held.append(int(last[room]))
+                room -= held[-1]
+            config = tuple(sorted(held, reverse=True))
+            if config not in members:
+                members[config] = np.unique([place[k] for k in config], return_counts=True)
+            at, times = members[config]
+            more = lack / times[np.searchsorted(at, i)]
+            weight[config] += more
+            covered[at] += more * times
+        prices = lengths / capacity * np.exp(STEP * (done / ROUNDS - covered / counts))
+    fit = np.minimum(1, counts / np.maximum(covered, 1e-12))
+    return {c: x * float(fit[members[c][0]].min()) for c, x in weight.items()}, bound
+
+
+def rounded(weights: dict[Config, float], histogram: dict[int, int]) -> tuple[dict[Config, int], dict[int, int]]:
+    """Whole copies of the configurations, and the pieces they leave."""
+    left, carried, copies = dict(histogram), defaultdict(float), {}
+    for config in sorted(weights, reverse=True):
+        times = Counter(config)
+        carried[config[0]] += weights[config]
+        n = min(int(carried[config[0]] + 1e-9), *(left[k] // t for k, t in times.items()))
+        if n:
+            carried[config[0]] -= n
+            copies[config] = n
+            for k, t in times.items():
+                left[k] -= n * t
+    return copies, {k: n for k, n in left.items() if n}
+
+
+def solve(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Config, int]], int]:
+    """Configurations (lengths in falling order) and how often each is used, which together hold the histogram exactly; and a number of sequences that no packing is below."""
+    left = {k: n for k, n in histogram.items() if n and k < capacity}
+    whole = histogram.get(capacity, 0)
+    found, packings, least = Counter({(capacity,): whole} if whole else {}), [], 0
+    for i in range(SOLUTIONS):
+        weights, bound = program(left, capacity) if left else ({}, 0.0)
+        copies, left = rounded(weights, left)
+        found.update(copies)
+        least = math.ceil(bound - 1e-6) if i == 0 else least
+        packings.append(found + Counter(dict(best_fit(left, capacity))))
+    return sorted(min(packings, key=lambda p: p.total()).items()), least + whole
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
@@ -171,7 +188,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024) -> D
     rows = kept(pieces(docs, path, end_id, capacity).withColumn("bucket", bucket), "pieces")
     counts = kept(rows.groupBy("length", "bucket").count(), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
-    table = spark.sparkContext.broadcast(places(solve(histogram, capacity)))
+    table = spark.sparkContext.broadcast(places(solve(histogram, capacity)[0]))  # bounded: about ROUNDS * SOLUTIONS configurations a length at most
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select("length", "bucket", before.alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "length", "ids_crc32"))
