@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from tideline.llm import jaccard, media, queries, secrets
+from tideline.llm import jaccard, media, queries, secrets, topk
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -307,6 +307,21 @@ def brute_topk(rows, k=20):
     return out
 
 
+def test_op10_large_components_and_unequal_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    rows = [(0, [1e8, 1.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1e7, -1e7]), (3, [3.0]), (40, [2.5]), (4, [1e30, 1.0]), (60, [1.0, 2.0, 3.0])]
+    rows += [(100 + i, rng.normal(0, 10.0 ** rng.integers(0, 7), 2).tolist()) for i in range(80)]
+    rows += [(300 + i, [float(x) for x in rng.integers(-3, 4, 3)]) for i in range(80)]
+    want = set()
+    for size in (1, 2, 3):
+        want |= brute_topk([(i, v) for i, v in rows if len(v) == size and i != 4])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df).collect()}
+    assert got == want and (20, 1, 0, 409600008192) in got
+
+
 def test_op10_equals_brute_force(spark, sf, odd_dir, empty_dir):
     for folder in (sf, odd_dir):
         t = pq.read_table(f"{folder}/embeddings.parquet")
