@@ -160,6 +160,25 @@ def test_op7_equals_plain_code(spark, sf, odd_dir, empty_dir, documents, odd_tex
     assert queries.op7_media(spark, empty_dir).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["mulaw", "alaw", "adpcm"])
+def test_op7_stores_codes_and_resampled_pcm(spark, kind):
+    rng = np.random.default_rng(4)
+    payloads = [None, b"", b"\x80", rng.integers(0, 256, 191, dtype=np.uint8).tobytes(), rng.integers(0, 89, 400, dtype=np.uint8).tobytes()]
+    rows = media.add_media(spark.createDataFrame(list(enumerate(payloads)), "doc_id long, payload binary"), "payload", kind, up=3, down=2).collect()
+    assert len(rows) == len(payloads)
+    for r in rows:
+        payload = payloads[r["doc_id"]] or b""
+        tag, rate, back = media.read_wave(bytes(r["media"]))
+        assert (tag, rate, back) == ({"mulaw": 7, "alaw": 6, "adpcm": 0x11}[kind], 8000, payload)
+        tag, rate, back = media.read_wave(bytes(r["pcm"]))
+        x = media.expanded(payload, kind).tolist()
+        want = []
+        for i in range(len(x) * 3 // 2):
+            left, part = divmod(2 * i, 3)
+            want.append((x[left] * (3 - part) + x[min(left + 1, len(x) - 1)] * part) // 3)
+        assert (tag, rate, np.frombuffer(back, "<i2").tolist()) == (1, 12000, want)
+
+
 def test_op7_tables_and_blocks():
     assert media.MULAW_SAMPLES[0] == -32124 and media.MULAW_SAMPLES[0xFF] == 0 and media.MULAW_SAMPLES[0x80] == 32124
     assert media.ALAW_SAMPLES[0x55] == -8 and media.ALAW_SAMPLES[0xD5] == 8 and abs(media.ALAW_SAMPLES.astype(int)).max() == 32256

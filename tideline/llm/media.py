@@ -2,9 +2,9 @@
 
 A payload is stored as a WAVE file of 8-bit mu-law codes and read back from the stored bytes. Codes expand by
 lookup tables built from the G.711 rule; the same bytes seen as ADPCM blocks (a 4-byte header, then two samples a
-byte) are decoded with numpy across all blocks of a batch, one column of nibbles at a time. `add_media` stores the
-expanded samples as 16-bit PCM resampled by an integer ratio with linear interpolation. Everything is in integers,
-so equal payloads give equal values anywhere.
+byte) are decoded with numpy across all blocks of a batch, one column of nibbles at a time. The expanded samples are
+also stored as a WAVE file of 16-bit PCM, resampled by an integer ratio with linear interpolation. Both files are read
+back; what is returned comes from there. Everything is in integers, so equal payloads give equal values anywhere.
 
 Null payloads count as empty. The query's payload is the text in UTF-8, padded with byte 32 to a positive multiple of
 a block. Rows are independent (no shuffle); repeated rows repeat, an empty table gives an empty one.
@@ -27,7 +27,7 @@ from .common import runs, slices
 #: Bytes of an ADPCM block, of which 4 are its header; samples a second.
 BLOCK, RATE = 192, 8000
 # Format tags of WAVE files.
-PCM, ALAW, MULAW = 1, 6, 7
+PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 # Index changes of IMA ADPCM, by the low three bits of a code.
 INDEX_CHANGE = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 # Step sizes of IMA ADPCM.
@@ -122,23 +122,35 @@ def read_wave(stored: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data chunk")
 
 
-def _features(payloads: list[bytes]) -> list[str]:
-    """Of each payload, from integers: mean size of its samples as mu-law, A-law and ADPCM, and the checksum of its resampled PCM."""
+def expanded(payload: bytes, kind: str) -> np.ndarray:
+    """The samples of a payload of mu-law or A-law codes or of ADPCM blocks (a shorter last block is padded with zeros)."""
+    raw = np.frombuffer(payload, np.uint8)
+    if kind == "adpcm":
+        return decode_adpcm(np.pad(raw, (0, -len(raw) % BLOCK)).reshape(-1, BLOCK)).ravel()
+    return (MULAW_SAMPLES if kind == "mulaw" else ALAW_SAMPLES)[raw]
+
+
+def stored(payload: bytes, kind: str, up: int, down: int) -> tuple[bytes, bytes]:
+    """The WAVE file of a payload, and that of its samples as 16-bit PCM resampled by up / down."""
+    tag = {"mulaw": MULAW, "alaw": ALAW, "adpcm": ADPCM}[kind]
+    return wave(payload, tag), wave(resample(expanded(payload, kind), up, down).astype("<i2").tobytes(), PCM, 16, RATE * up // down)
+
+
+def _features(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """Of each payload and its stored PCM, from integers: mean size of its samples as mu-law, A-law and ADPCM, and mean size and checksum of the PCM."""
     data = np.frombuffer(b"".join(payloads), np.uint8)
     sizes = np.fromiter(map(len, payloads), np.int64, len(payloads))
     starts = np.cumsum(sizes) - sizes
-    mulaw = MULAW_SAMPLES[data]
     mean_mulaw = np.add.reduceat(np.abs(MULAW_SAMPLES.astype(np.int32))[data], starts, dtype=np.int64) // sizes
     mean_alaw = np.add.reduceat(np.abs(ALAW_SAMPLES.astype(np.int32))[data], starts, dtype=np.int64) // sizes
     decoded = decode_adpcm(data.reshape(-1, BLOCK))
     per_block = np.abs(decoded.astype(np.int32)).sum(axis=1, dtype=np.int64)
     mean_adpcm = np.add.reduceat(per_block, starts // BLOCK) // (sizes // BLOCK * decoded.shape[1])
-    # twice the rate: every sample, and the middle between it and the next one of the same payload
-    after = np.append(mulaw[1:], mulaw[-1])
-    after[starts + sizes - 1] = mulaw[starts + sizes - 1]
-    double = np.stack([mulaw, (mulaw.astype(np.int32) + after >> 1).astype(np.int16)], axis=1).astype("<i2")
-    sums = [zlib.crc32(double[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    return [f"mulaw={m};alaw={a};adpcm={d};pcm16k={s:08x}" for m, a, d, s in zip(mean_mulaw.tolist(), mean_alaw.tolist(), mean_adpcm.tolist(), sums, strict=True)]
+    mean_pcm = [int(np.abs(np.frombuffer(p, "<i2").astype(np.int32)).sum(dtype=np.int64)) * 2 // len(p) for p in pcm]
+    return [
+        f"mulaw={m};alaw={a};adpcm={d};pcm16k={s};pcm16k_crc={zlib.crc32(p):08x}"
+        for m, a, d, s, p in zip(mean_mulaw.tolist(), mean_alaw.tolist(), mean_adpcm.tolist(), mean_pcm, pcm, strict=True)
+    ]
 
 
 def padded(text: bytes) -> bytes:
@@ -146,14 +158,15 @@ def padded(text: bytes) -> bytes:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of every text stored as telephony audio and read back."""
+    """Digests of every text stored as telephony audio, and of its resampled PCM, both read back."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, limit=2 << 20):
+            for b in slices(batch, limit=1 << 20):
                 texts = [(t or "").encode() for t in b["text"].to_pylist()]
-                media = [wave(padded(t)) for t in texts]
-                back = [read_wave(m)[2] for m in media]
+                both = [stored(padded(t), "mulaw", 2, 1) for t in texts]
+                media, resampled = [m for m, _ in both], [p for _, p in both]
+                back, pcm = ([read_wave(m)[2] for m in files] for files in (media, resampled))
                 columns = {
                     "doc_id": b["doc_id"],
                     "n_bytes": pa.array(map(len, texts), pa.int64()),
@@ -162,11 +175,13 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     "tail_crc32": pa.array([zlib.crc32(p[-16:]) for p in back], pa.int64()),
                     "media_bytes": pa.array(map(len, media), pa.int64()),
                     "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                    "feature": pa.array(_features(back)),
+                    "feature": pa.array(_features(back, pcm)),
+                    "pcm_bytes": pa.array(map(len, resampled), pa.int64()),
+                    "pcm_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in resampled]),
                 }
                 yield pa.record_batch(list(columns.values()), list(columns))
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
@@ -175,19 +190,10 @@ def add_media(df: DataFrame, payload_col: str, kind: str = "mulaw", id_col: str
 
     kind: mulaw, alaw, or adpcm (whole blocks; a shorter last block is padded with zeros)."""
 
-    def one(payload: bytes) -> tuple[bytes, bytes]:
-        raw = np.frombuffer(payload, np.uint8)
-        if kind == "adpcm":
-            samples = decode_adpcm(np.pad(raw, (0, -len(raw) % BLOCK)).reshape(-1, BLOCK)).ravel()
-        else:
-            samples = (MULAW_SAMPLES if kind == "mulaw" else ALAW_SAMPLES)[raw]
-        tag = {"mulaw": MULAW, "alaw": ALAW, "adpcm": 0x11}[kind]
-        return wave(payload, tag), wave(resample(samples, up, down).astype("<i2").tobytes(), PCM, 16, RATE * up // down)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "payload", 1 << 20):
-                got = [one(p or b"") for p in b["payload"].to_pylist()]
+                got = [stored(p or b"", kind, up, down) for p in b["payload"].to_pylist()]
                 yield pa.record_batch([b["doc_id"], pa.array([x for x, _ in got], pa.binary()), pa.array([y for _, y in got], pa.binary())], ["doc_id", "media", "pcm"])
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(payload_col).alias("payload")).mapInArrow(work, "doc_id long, media binary, pcm binary")
