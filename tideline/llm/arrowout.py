@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, shared_dir, slices
-from .tokens import TOKEN_SLICE, encoder
+from .tokens import ROOMY, encoder
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 1024, 256
@@ -88,7 +88,7 @@ def write_streams(docs: DataFrame, path: str, folder: str, end_id: int, id_col:
         shard, out, n = TaskContext.get().partitionId(), None, 0
         enc = encoder(path)
         for batch in batches:
-            for b in slices(batch, limit=TOKEN_SLICE):
+            for b in slices(batch, limit=ROOMY[0]):
                 out = out or _Shard(folder, shard, stream_schema(enc.tokenizer.get_vocab_size()))
                 flat, counts = enc.encode(b["text"])
                 out.add(b["doc_id"], np.insert(flat, np.cumsum(counts), end_id), counts + 1)

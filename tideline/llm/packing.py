@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, runs, slices
-from .tokens import TOKEN_SLICE, encoder
+from .tokens import ROOMY, encoder
 
 Config = tuple[int, ...]
 #: Rounds of the multiplicative weights, their step, how far below the dearest configuration's value one may be, and how
@@ -37,13 +37,13 @@ Config = tuple[int, ...]
 ROUNDS, STEP, SLACK, SOLUTIONS = 48, 0.1, 0.01, 2
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", room: tuple[int, int] = ROOMY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents longer than the capacity are cut, a shorter rest comes first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, room[1])
         for batch in batches:
-            for b in slices(batch, limit=TOKEN_SLICE):
+            for b in slices(batch, limit=room[0]):
                 flat, counts = enc.encode(b["text"])
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
@@ -180,12 +180,12 @@ def places(configs: list[tuple[Config, int]]) -> tuple[np.ndarray, np.ndarray]:
     return table[:, 0], table[:, 1:]
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Every piece with its sequence_id and offset."""
+def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, room: tuple[int, int] = ROOMY) -> DataFrame:
+    """Every piece with its sequence_id and offset; room: see tokens."""
     spark = docs.sparkSession
     buckets = max(64, 2 * docs.rdd.getNumPartitions())
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
-    rows = kept(pieces(docs, path, end_id, capacity).withColumn("bucket", bucket), "pieces")
+    rows = kept(pieces(docs, path, end_id, capacity, room=room).withColumn("bucket", bucket), "pieces")
     counts = kept(rows.groupBy("length", "bucket").count(), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     table = spark.sparkContext.broadcast(places(solve(histogram, capacity)[0]))  # bounded: about ROUNDS * SOLUTIONS configurations a length at most

@@ -22,10 +22,9 @@ import regex
 from .bpe import byte_letters
 from .common import runs, single_thread
 
-#: Different parts kept in a worker's memory before it starts anew.
-PARTS_KEPT = 150_000
-#: Bytes of text encoded at once: a worker then holds some 90 MB at most beside its libraries (290 MB at 8 MB of text, for a tenth less CPU time).
-TOKEN_SLICE = 1 << 20
+#: Bytes of text encoded at once, and different parts kept in a worker's memory before it starts anew. Beside its libraries
+#: a worker holds some 290 MB with ROOMY, and with TIGHT some 95 MB for half as much CPU time again.
+ROOMY, TIGHT = (8 << 20, 250_000), (1 << 20, 150_000)
 #: How byte-level vocabularies split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -35,8 +34,9 @@ ODD = r"[ \n][ \n]|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200
 
 
 class TextEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, parts_kept: int) -> None:
         single_thread()
+        self.parts_kept = parts_kept
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,7 +96,7 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, joined (uint32), and the number of ids of each text; null texts count as empty."""
-        if len(self.parts) > PARTS_KEPT:
+        if len(self.parts) > self.parts_kept:
             self._clear()
         texts = pc.fill_null(texts, "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
@@ -126,6 +126,6 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, parts_kept: int = ROOMY[1]) -> TextEncoder:
     """One encoder in each Python worker; what it has learnt serves the worker's next tasks too."""
-    return TextEncoder(path)
+    return TextEncoder(path, parts_kept)
