@@ -9,7 +9,8 @@ the columns of documents. run(spark, sf_dir) applies them to the documents table
    of their n-grams that the language knows is under a quarter of what nearly all its labelled documents have, or nothing.
 3. jaccard: of each class of near-duplicates (five words, 0.8) the document with the smallest doc_id stays.
 4. secrets: every span that the rules or the Markov models find is replaced by a mask; n_chars follows.
-5. packing: the texts' pieces with their places in sequences of 1024 tokens.
+5. packing: the texts' pieces with their places in sequences of 1024 tokens. Encoding takes little memory, as the
+   executors already hold what the stages before left.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from tideline.llm import jaccard, langid, packing, quality, secrets
 from tideline.llm.common import kept, table
 from tideline.llm.queries import BYTE_BPE
+from tideline.llm.tokens import TIGHT
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, BYTE_BPE)
+    return packing.pack(docs, BYTE_BPE, room=TIGHT)
 
 
 STAGES = [("quality", keep_good), ("language", keep_known_language), ("jaccard", keep_one_of_each_class), ("secrets", mask_secrets), ("packing", pack)]
