@@ -1,6 +1,7 @@
 """Operators against brute force: nulls, ties, empty tables, and any cut into blocks."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -106,7 +107,7 @@ def test_markup_of_adversarial_lines(spark):
     df = spark.createDataFrame([(s,) for s in lines], "s string")
     for r in df.select("s", text.clean_markup(F.col("s")).alias("c")).collect():
         assert r["c"] == clean_slowly(r["s"]), r["s"]
-    assert [subtitles._MARKUP.sub("", s).split() for s in lines] == [clean_slowly(s).split() for s in lines]
+    assert [re.sub(text.MARKUP.replace(r"\z", r"\Z"), "", s).split() for s in lines] == [clean_slowly(s).split() for s in lines]
 
 
 @pytest.mark.parametrize(("s", "want"), [("90", 90), ("1.5", 1.5), ("1:23", 83), ("1:02:03.5", 3723.5), ("90:30", 5430), (" .5 ", 0.5), ("1e1", 10), ("", None), ("abc", None), ("1:75", None), ("-3", None), ("1:2:3:4", None), ("1.5:00", None), ("nan", None), ("1d", None), (None, None)])
@@ -154,12 +155,31 @@ def test_fitted_text():
     assert len(fitting.fit(["w" * 50], mono)[1]) <= 2
 
 
-def test_subtitle_documents():
-    doc = "﻿WEBVTT\r\n\r\nNOTE x\r\n\r\nid\r\n00:01.000 --> 00:04.500 line:0\r\n<i>two</i>  {x}words\r\nnext\r\n\r\n00:03.000 --> 00:03.000\r\nnone\r\n"
-    cues, error = subtitles.cues_of(doc)
-    assert error is None and cues == [{"ord": 0, "start": 1.0, "end": 4.5, "lines": ["two words", "next"]}]
-    assert subtitles.cues_of("1\n00:00:01 --> 00:00:02\nx")[1] == "bad timestamp in line 2"
-    assert subtitles.cues_of("")[1] == "no cues" and subtitles.cues_of(None)[1] == "no text"
+def test_subtitle_documents(spark):
+    docs = [
+        "\ufeffWEBVTT\r\n\r\nNOTE x\r\n\r\nid\r\n00:01.000 --> 00:04.500 line:0\r\n<i>two</i>  {x}words\r\nnext\r\n\r\n00:03.000 --> 00:03.000\r\nnone\r\n",
+        "1\n00:00:01 --> 00:00:02\nx",
+        "",
+        None,
+        "WEBVTT\n",
+        "1\n00:00:01,000 --> 00:00:02,000\n \n\t\n2\n00:00:01,000 --> soon\nb",
+        "00:00:01,000 --> 00:00:02,000\n<i></i>\n",
+        "1\n00:00:01,000 --> 00:00:02,500\nHello\n<i>world</i>\n\n2\n00:00:03,000 --> 00:00:04,000\nBye -->\n00:00:05,000 --> 00:00:06,000\n",
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, doc string")
+    got = {}
+    for r in subtitles.parsed(df, "doc", "id").collect():
+        got.setdefault(r["id"], []).append(r["error"] or (r["ord"], r["start"], r["end"], r["lines"]))
+    assert got == {
+        0: [(0, 1.0, 4.5, ["two words", "next"])],
+        1: ["line 2: bad timestamp '00:00:01'"],
+        2: ["no subtitle cues found"],
+        3: ["no text"],
+        4: ["no subtitle cues found"],
+        5: ["line 6: bad timestamp 'soon'"],
+        6: ["no subtitle cues found"],
+        7: [(0, 1.0, 2.5, ["Hello", "world"]), (1, 3.0, 4.0, ["Bye -->", "00:00:05,000 --> 00:00:06,000"])],
+    }
 
 
 def test_subtitle_files(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ MARKUP = rf"<[^>{{]*+(?:>|\z|\{{{_BOTH_OPEN})|\{{[^}}<]*+(?:\}}|\z|<{_BOTH_OPEN}
 BLANK = r"[\s\u0085   -     　]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once though it is used more often, also in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_time(s: Column) -> Column:
     """Seconds of `S`, `M:S` or `H:M:S`; only the last part may have a fraction, later parts are below 60; else null."""
     parts = F.split(F.trim(s), ":", -1)

@@ -44,10 +44,12 @@ def running(df: DataFrame, stream: Stream, values: dict[str, tuple[str, Column]]
     order, keys = [way(c) for c in stream.order], stream.keys
     names = list(values)
     block = F.expr(stream.block) if isinstance(stream.block, str) else stream.block
-    blocked = df.withColumns({"_block": block} | {f"_v_{n}": e for n, (_, e) in values.items()})
+    # one column for key and block, never null and equal where nulls meet: windows, block totals and join are dealt by it alike
+    at = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], block.alias("block"))
+    placed = df.withColumns({"_at": at} | {f"_v_{n}": e for n, (_, e) in values.items()})
     until = 0 if with_own else -1
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
-    before = Window.partitionBy(*keys).orderBy(way("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
+    before = Window.partitionBy(*[f"_at.k{i}" for i in range(len(keys))]).orderBy(way("_at.block")).rowsBetween(Window.unboundedPreceding, -1)
 
     def over(kind: str, col: str, window) -> Column:  # noqa: ANN001
         return F.last(col, ignorenulls=True).over(window) if kind == "last" else KINDS[kind][0](col).over(window)
@@ -58,16 +60,13 @@ def running(df: DataFrame, stream: Stream, values: dict[str, tuple[str, Column]]
         place = F.struct(*stream.order)
         return (F.min_by if reverse else F.max_by)(col, F.when(F.col(col).isNotNull(), place))
 
-    local = blocked.withColumns({f"_in_{n}": over(k, f"_v_{n}", inside) for n, (k, _) in values.items()})
-    sums = blocked.groupBy(*keys, "_block").agg(*[total(k, f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in values.items()])
-    carry = sums.select(*[F.col(c).alias(f"_k_{i}") for i, c in enumerate([*keys, "_block"])], *[over(k, f"_t_{n}", before).alias(f"_b_{n}") for n, (k, _) in values.items()])
-    match = [F.col(c).eqNullSafe(F.col(f"_k_{i}")) for i, c in enumerate([*keys, "_block"])]
-    on = match[0]
-    for m in match[1:]:
-        on &= m
-    joined = local.join(carry, on)
+    local = placed.withColumns({f"_in_{n}": over(k, f"_v_{n}", inside) for n, (k, _) in values.items()})
+    # the totals read whole rows of the same windows, so that Spark shuffles (and scans) the rows once for both
+    row = F.first(F.struct(*local.columns)).alias("_row")
+    sums = local.groupBy("_at").agg(row, *[total(k, f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in values.items()]).where("_row is not null")
+    carry = sums.select("_at", *[over(k, f"_t_{n}", before).alias(f"_b_{n}") for n, (k, _) in values.items()])
     out = {n: KINDS[k][1](F.col(f"_b_{n}"), F.col(f"_in_{n}")) for n, (k, _) in values.items()}
-    return joined.withColumns(out).select(*[c for c in df.columns if c not in names], *names)
+    return local.join(carry, "_at").withColumns(out).select(*[c for c in df.columns if c not in names], *names)
 
 
 def previous(df: DataFrame, stream: Stream, name: str, value: Column, *, reverse: bool = False) -> DataFrame:

@@ -6,27 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import squared_distance
-from .ordered import Stream, previous, ranked, running
+from .ordered import Stream, ranked, running
 
 #: Longest run that one run-length operation holds.
 RUN_MOST = 128
 
 
-def segmented(df: DataFrame, stream: Stream, cut: Column, most: Column | int) -> DataFrame:
+def segmented(df: DataFrame, stream: Stream, cut: Column, most: Column | int, rank: str | None = None) -> DataFrame:
     """df with `segment` (from 0 in each stream), `place` (from 0 in each segment) and `is_start`.
 
-    A row where `cut` holds starts a segment, and so does one whose segment already has `most` rows."""
-    numbered = ranked(df, stream, "_rank").withColumn("_cut", (F.col("_rank") == 0) | F.coalesce(cut, F.lit(False)))
+    A row where `cut` holds starts a segment, and so does one whose segment already has `most` rows. rank: a column
+    that already numbers the rows of each stream from 0 (see changed_by); it goes."""
+    numbered = df.withColumnRenamed(rank, "_rank") if rank else ranked(df, stream, "_rank")
+    numbered = numbered.withColumn("_cut", (F.col("_rank") == 0) | F.coalesce(cut, F.lit(False)))
     scene = running(numbered, stream, {"_scene_start": ("max", F.when(F.col("_cut"), F.col("_rank")))})
     place = (F.col("_rank") - F.col("_scene_start")) % most
     starts = scene.withColumn("place", place).withColumn("is_start", F.col("place") == 0)
     return running(starts, stream, {"segment": ("sum", F.col("is_start").cast("long"))}).withColumn("segment", F.col("segment") - 1).drop("_rank", "_cut", "_scene_start")
 
 
-def changed_by(df: DataFrame, stream: Stream, value: Column, over: float, name: str = "cut") -> DataFrame:
-    """df with whether the value differs from the row before by more than `over`; the first row of a stream doesn't."""
-    got = previous(df.withColumn("_now", value), stream, "_was", F.col("_now"))
-    return got.withColumn(name, F.coalesce(F.abs(F.col("_now") - F.col("_was")) > over, F.lit(False))).drop("_now", "_was")
+def changed_by(df: DataFrame, stream: Stream, value: Column, over: float, name: str = "cut", rank: str | None = None) -> DataFrame:
+    """df with whether the value differs from the row before by more than `over`; the first row of a stream doesn't.
+
+    rank: a name for the number of each row in its stream, from 0, which comes from the same step."""
+    now = df.withColumn("_now", value)
+    got = running(now, stream, {"_was": ("last", F.struct(F.col("_now").alias("v"))), "_before": ("sum", F.lit(1).cast("long"))}, with_own=False)
+    got = got.withColumn(name, F.coalesce(F.abs(F.col("_now") - F.col("_was.v")) > over, F.lit(False)))
+    return (got.withColumn(rank, F.coalesce("_before", F.lit(0).cast("long"))) if rank else got).drop("_now", "_was", "_before")
 
 
 def dead_band(df: DataFrame, segment_keys: list[str], place: str, value: str, skip: Column | float, sources: int = 1) -> DataFrame:
@@ -54,8 +60,8 @@ def dead_band(df: DataFrame, segment_keys: list[str], place: str, value: str, sk
 
 def run_lengths(df: DataFrame, stream: Stream, value: Column, most: int = RUN_MOST) -> DataFrame:
     """A row for each run of equal values, cut at `most`: keys, start (row number), n and value."""
-    numbered = ranked(df.withColumn("_value", value), stream, "_rank")
-    marked = previous(numbered, stream, "_was", F.struct(F.col("_value").alias("v")))
+    ahead = {"_was": ("last", F.struct(F.col("_value").alias("v"))), "_rank": ("sum", F.lit(1).cast("long"))}
+    marked = running(df.withColumn("_value", value), stream, ahead, with_own=False).withColumn("_rank", F.coalesce("_rank", F.lit(0).cast("long")))
     fresh = F.col("_was").isNull() | ~F.col("_was.v").eqNullSafe(F.col("_value"))
     run = running(marked, stream, {"_start": ("max", F.when(fresh, F.col("_rank")))})
     part = run.withColumn("_part", F.floor((F.col("_rank") - F.col("_start")) / most))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,28 +43,35 @@ def resampled(blocks: DataFrame, key: str, block: str, start: str, samples: str,
     head = F.struct((F.col(block) - 1).alias("to"), F.lit(2).alias("part"), F.col(start).alias("at"), F.slice(samples, 1, edge).alias("x"))
     tail = F.struct((F.col(block) + 1).alias("to"), F.lit(0).alias("part"), (F.col(start) + F.greatest(size - edge, F.lit(0))).alias("at"), F.slice(samples, F.greatest(size - edge, F.lit(0)) + 1, edge).alias("x"))
     sent = blocks.select(F.col(key).alias("key"), F.explode(F.array(own, head, tail)).alias("p")).select("key", "p.*")
-    taps, step = low_pass(in_rate, out_rate), in_rate / out_rate
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.part: r for r in group.itertuples()}
-        if 1 not in rows:  # a neighbour beyond the stream's ends
-            return pd.DataFrame({"key": [], "first": [], "out": []}, dtype=object)
-        at, n = int(rows[1].at), len(rows[1].x)
-        x = np.zeros(n + 2 * edge)
-        for r in rows.values():
-            x[r.at - at + edge : r.at - at + edge + len(r.x)] = r.x
-        # places i with their sample floor(i * step) in this block
-        first, last = int(np.ceil(at / step)), int(np.ceil((at + n) / step))
-        place = np.arange(first, last) * step
-        left = np.floor(place).astype(np.int64)
-        windows = np.lib.stride_tricks.sliding_window_view(x, TAPS) @ taps
-        base = left - at + edge - BEFORE
-        value = windows[base] * (1 - (place - left)) + windows[base + 1] * (place - left)
-        out = np.clip(np.floor(value * 32767 + 0.5), -32768, 32767).astype(np.int16)
-        return pd.DataFrame({"key": [group["key"].iloc[0]], "first": [first], "out": [out]})
+    piece = [F.max(F.when(F.col("part") == part, F.struct("at", "x"))).alias(name) for part, name in enumerate(("tail", "own", "head"))]
+    met = sent.groupBy("key", "to").agg(*piece).where("own is not null")  # else a neighbour beyond the stream's ends
+    taps, step = low_pass(in_rate, out_rate)[::-1].copy(), in_rate / out_rate
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, outs = [], []
+            parts = [(batch[name].field("at").to_numpy(zero_copy_only=False), batch[name].field("x"), batch[name].is_valid().to_numpy(zero_copy_only=False)) for name in ("own", "tail", "head")]
+            for i in range(len(batch)):
+                at, n = int(parts[0][0][i]), len(parts[0][1][i])
+                x = np.zeros(n + 2 * edge)
+                for starts, values, valid in parts:
+                    if valid[i]:
+                        piece = np.asarray(values[i].values, np.float64)
+                        begin = int(starts[i]) - at + edge
+                        x[begin : begin + len(piece)] = piece
+                # places p with their sample floor(p * step) in this block
+                first, last = int(np.ceil(at / step)), int(np.ceil((at + n) / step))
+                place = np.arange(first, last) * step
+                left = np.floor(place).astype(np.int64)
+                filtered = np.convolve(x, taps, "valid")
+                base = left - at + edge - BEFORE
+                value = filtered[base] * (1 - (place - left)) + filtered[base + 1] * (place - left)
+                firsts.append(first)
+                outs.append(np.clip(np.floor(value * 32767 + 0.5), -32768, 32767).astype(np.int16))
+            yield pa.record_batch([batch["key"], pa.array(firsts, pa.int64()), pa.array(outs, pa.list_(pa.int16()))], ["key", "first", "out"])
 
     kind = blocks.schema[key].dataType.simpleString()
-    return sent.groupBy("key", "to").applyInPandas(one, f"key {kind}, first long, out array<smallint>").withColumnRenamed("key", key)
+    return met.mapInArrow(work, f"key {kind}, first long, out array<smallint>").withColumnRenamed("key", key)
 
 
 def _change(step: int, code: int) -> int:

@@ -32,8 +32,8 @@ def _second() -> Column:
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts = segments.changed_by(_events(spark, sf_dir, "value"), USERS, F.col("value"), JUMP)
-    return segments.segmented(cuts, USERS, F.col("cut"), LONGEST)
+    cuts = segments.changed_by(_events(spark, sf_dir, "value"), USERS, F.col("value"), JUMP, rank="rank")
+    return segments.segmented(cuts, USERS, F.col("cut"), LONGEST, rank="rank")
 
 
 def change_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +54,12 @@ def run_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ordered.within_budget(_t(spark, sf_dir, "orders"), CUSTOMERS, F.length("o_orderpriority") + ladder.RECORD_COST, 100)
+    got = ordered.within_budget(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), CUSTOMERS, F.length("o_orderpriority") + ladder.RECORD_COST, 100)
     return got.select("o_orderkey", F.col("running_cost").cast("long").alias("running_cost"), "fits")
 
 
 def section_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ordered.offsets(_t(spark, sf_dir, "orders"), CUSTOMERS, media.aligned(F.length("o_orderpriority")))
+    got = ordered.offsets(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), CUSTOMERS, media.aligned(F.length("o_orderpriority")))
     return got.select("o_orderkey", "offset")
 
 
