@@ -38,7 +38,7 @@ def test_static_frames_send_nothing_after_both_pages_are_full(spark):
 def test_scene_cuts_and_colours(spark):
     solid = spark.range(6 * 4).select(F.lit(1).alias("clip"), F.floor(F.col("id") / 4).alias("frame"), (F.col("id") % 2).alias("x"), (F.floor(F.col("id") / 2) % 2).alias("y"))
     grey = F.when(F.col("frame") < 3, 0).otherwise(255)
-    cuts = frames.scene_cuts(solid.select("*", *[grey.alias(c) for c in "rgb"]), "clip", "frame")
+    cuts = frames.scene_cuts(solid.select("*", *[grey.alias(c) for c in "rgb"]), "clip", "frame", 2, 2)
     assert [r["frame"] for r in cuts.where("cut").collect()] == [3]
     slots = frames.nearest_colours(spark, [(0, 0, 0), (255, 255, 255), (255, 255, 255)])
     assert {r["slot"] for r in slots.select("slot").distinct().collect()} == {0, 1}

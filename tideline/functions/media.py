@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import parse_time
+
 # Screen size, audio rate, samples of an audio block, samples of a clock tick.
 SCREEN_W, SCREEN_H, RATE, BLOCK_SAMPLES, TICK = 240, 160, 13379, 2048, 224
 # Tone curve, luma weights and saturation of the small screen.
@@ -107,3 +109,43 @@ def little_endian(data: Column, at: Column | int, size: int) -> Column:
 
 def aligned(size: Column, to: int = 4) -> Column:
     return (F.floor((size + to - 1) / to) * to).cast("long")
+
+
+def bytes_of(number: Column, size: int = 4) -> Column:
+    """An unsigned number as `size` little-endian bytes."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.floor(number / (1 << 8 * i)).cast("long") % 256), 2, "0")) for i in range(size)])
+
+
+def packed(records: Column) -> Column:
+    """An array of binaries as one: how many there are, then each with its length before it."""
+    body = F.transform(records, lambda r: F.concat(bytes_of(F.octet_length(r)), r))
+    return F.unhex(F.concat(F.hex(bytes_of(F.size(records))), F.array_join(F.transform(body, F.hex), "")))
+
+
+def unpacked(data: Column) -> Column:
+    """The records of packed(), or null where a length points beyond the data or bytes remain."""
+    n, size = little_endian(data, 0, 4), F.octet_length(data)
+
+    def step(acc: Column, _: Column) -> Column:
+        length = F.when(acc["at"] + 4 <= size, little_endian(data, acc["at"], 4))
+        end = acc["at"] + 4 + length
+        fits = acc["fits"] & F.coalesce(end <= size, F.lit(False))
+        record = F.substring(data, acc["at"] + 5, length.cast("int"))
+        return F.struct(F.when(fits, end).otherwise(acc["at"]).cast("int").alias("at"), fits.alias("fits"), F.when(fits, F.array_append(acc["out"], record)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(4).alias("at"), F.lit(True).alias("fits"), F.array().cast("array<binary>").alias("out"))
+    counted = F.when((size >= 4) & (n <= size), F.sequence(F.lit(1).cast("long"), n, F.lit(1).cast("long")))
+    return F.when((size == 4) & (n == 0), F.array().cast("array<binary>")).otherwise(F.aggregate(F.when(n > 0, counted), start, step, lambda acc: F.when(acc["fits"] & (acc["at"] == size), acc["out"])))
+
+
+def trimmed(start: Column, end: Column, whole: Column) -> Column:
+    """start and end in seconds of two time strings, of which either may be blank, within a clip of `whole` seconds; or what is wrong with them."""
+    blank = [F.trim(s) == "" for s in (start, end)]
+    low, high = (F.when(~b, parse_time(s)) for b, s in zip(blank, (start, end), strict=True))
+    error = F.when(~blank[0] & low.isNull(), "start is no time").when(~blank[1] & high.isNull(), "end is no time").when(low >= high, "end must be after start").when(low >= whole, "start is beyond the end of the clip")
+    return F.struct(F.when(error.isNull(), F.coalesce(low, F.lit(0.0))).alias("start"), F.when(error.isNull(), F.least(F.coalesce(high, whole), whole)).alias("end"), error.alias("error"))
+
+
+def usable(text: Column, error: Column) -> Column:
+    """Subtitles that are there and have no error, else null."""
+    return F.when(error.isNull(), text)

@@ -14,6 +14,8 @@ from . import cluster, segments
 from .ordered import Stream, running
 
 PAGES = 2
+#: Pixels of a frame that tell a scene cut, and of a clip that give its palette, at most about twice so many.
+SCENE_PIXELS, PALETTE_PIXELS = 4_096, 50_000
 BLOCK = ["block_x", "block_y"]
 
 
@@ -63,16 +65,34 @@ def rms(x: Column) -> Column:
     return F.sqrt(F.avg(x * x))
 
 
-def scene_cuts(pixels: DataFrame, clip: str, frame: str, limit: int = 40) -> DataFrame:
+def scene_cuts(pixels: DataFrame, clip: str, frame: str, width: int, height: int, limit: int = 40, most: int = SCENE_PIXELS) -> DataFrame:
     """(clip, frame, cut) of every frame after the first: whether the mean change of its samples, as a whole number, is above `limit`.
 
-    The frame before is met by an equality join on (clip, frame + 1, x, y), not by a window over a clip's pixels."""
-    before = pixels.select(clip, (F.col(frame) + 1).alias(frame), "x", "y", *[F.col(c).alias(f"_{c}") for c in "rgb"])
+    Of a frame of width x height pixels every (width * height / most)-th is looked at. The frame before is met by an
+    equality join on (clip, frame + 1, x, y), not by a window over a clip's pixels."""
+    step = max(1, width * height // most)
+    seen = pixels.where((F.col("y") * width + F.col("x")) % step == 0) if step > 1 else pixels
+    before = seen.select(clip, (F.col(frame) + 1).alias(frame), "x", "y", *[F.col(c).alias(f"_{c}") for c in "rgb"])
     change = sum((F.abs(F.col(c) - F.col(f"_{c}")) for c in "rgb"), F.lit(0))
-    means = pixels.join(before, [clip, frame, "x", "y"]).groupBy(clip, frame).agg(F.floor(F.sum(change) / (F.count(F.lit(1)) * 3)).alias("mean"))
+    means = seen.join(before, [clip, frame, "x", "y"]).groupBy(clip, frame).agg(F.floor(F.sum(change) / (F.count(F.lit(1)) * 3)).alias("mean"))
     return means.select(clip, frame, (F.col("mean") > limit).alias("cut"))
 
 
+def sampled(pixels: DataFrame, clip: str, frame: str, width: int, height: int, most: int = PALETTE_PIXELS) -> DataFrame:
+    """Every n-th pixel of each clip in order of frame (from 0, none missing), row and column, where n is the number of its pixels over `most`."""
+    totals = pixels.groupBy(F.col(clip).alias("_clip")).agg(F.greatest(F.floor(F.count(F.lit(1)) / most), F.lit(1)).alias("_step"))  # a row a clip
+    index = (F.col(frame) * height + F.col("y")) * width + F.col("x")
+    return pixels.join(totals, F.col(clip) == F.col("_clip")).where(index % F.col("_step") == 0).drop("_clip", "_step")
+
+
+def quality(pixels: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mse, psnr) of what is shown against the pixels, over all three colours."""
+    other = shown.select(*keys, "x", "y", *[F.col(c).alias(f"_{c}") for c in "rgb"])
+    square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "rgb"), F.lit(0.0))
+    found = pixels.join(other, [*keys, "x", "y"]).groupBy(*keys).agg((F.sum(square) / (F.count(F.lit(1)) * 3)).alias("mse"))
+    return found.select(*keys, "mse", psnr(F.col("mse")).alias("psnr"))
+
+
 def nearest_colours(spark, palette: list[tuple[int, int, int]]) -> DataFrame:  # noqa: ANN001
     """(c555, slot): the nearest palette slot of each 15-bit colour; of equally near ones the lowest."""
     from tideline.functions.media import from_555
