@@ -41,6 +41,14 @@ def test_query_equals_sql(spark, duck, name):
     assert [tuple(map(str, r)) for r in sorted(got, key=key)] == [tuple(map(str, r)) for r in sorted(want, key=key)]
 
 
+@pytest.mark.parametrize("name", ["change_segments", "run_lengths", "gap_fill", "key_hold", "budget_prefix", "section_offsets"])
+def test_chains_of_running_values_scan_their_rows_twice_at_most(spark, name):
+    df = catalog.QUERIES[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert 1 <= plan.count("Scan parquet") <= 2
+
+
 def test_contract(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and set(catalog.QUERIES) <= set(names)

@@ -201,7 +201,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", text.wrapped(text.ascii_title(F.coalesce(F.col("text"), F.lit(""))), 28, 8).alias("lines"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(text.wrapped(text.ascii_title(F.coalesce(F.col("text"), F.lit(""))), 28, 8), "\n").alias("lines"))
 
 
 def fitted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +355,14 @@ ORACLE_SQL = {
     "markup_removed": f"SELECT page_id, array_to_string(list_transform(string_split(html, chr(10)), lambda l: {_clean_sql('l')}), chr(10)) AS clean FROM pages",
     "titles": f"""SELECT doc_id, regexp_replace(trim({_T}), '[^ -~]', '?', 'g') AS title, upper(substring(regexp_replace({_T}, '[^A-Za-z0-9 ]', '', 'g'), 1, 12)) AS header,
         coalesce(nullif({_NAME.format(t=_T, p="")}, ''), 'video') AS file_name, coalesce(nullif({_NAME.format(t=_T, p="+")}, ''), 'video') AS short_name, regexp_replace({_T}, '(.)\\.[^.]*$', '\\1') AS stem FROM documents""",
+    "wrapped_titles": f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim({_T}), '[^ -~]', '?', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
+        parts AS MATERIALIZED (SELECT doc_id, flatten(list_transform(w, lambda w: list_transform(range(0, (length(w) - 1) // 28 + 1), lambda i: {{'p': substring(w, i * 28 + 1, 28), 'part': length(w) > 28, 'over': i * 28 + 28 < length(w)}}))) AS a FROM words),
+        fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS lines, '' AS cur FROM parts
+        UNION ALL SELECT doc_id, k + 1, CASE WHEN x.over THEN list_append(done, x.p) ELSE done END, CASE WHEN x.over THEN '' WHEN joins THEN cur || ' ' || x.p ELSE x.p END
+        FROM (SELECT *, CASE WHEN cur = '' OR joins THEN lines ELSE list_append(lines, cur) END AS done
+            FROM (SELECT doc_id, k, lines, cur, a[k + 1] AS x, cur <> '' AND NOT a[k + 1].part AND length(cur) + 1 + length(a[k + 1].p) <= 28 AS joins FROM fold JOIN parts USING (doc_id) WHERE k < len(a) AND len(lines) <= 8) s) t),
+        whole AS (SELECT doc_id, arg_max(CASE WHEN cur = '' THEN lines ELSE list_append(lines, cur) END, k) AS l FROM fold GROUP BY doc_id)
+        SELECT doc_id, array_to_string(CASE WHEN len(l) > 8 THEN list_append(l[1:7], substring(l[8], 1, 25) || '...') ELSE l END, chr(10)) AS lines FROM whole""",
     "subtitle_round_trip": f"""WITH a AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\s*\\n\\s*', chr(10), 'g'), chr(10)), lambda l: {_clean_sql('l')}), lambda l: l <> '') AS lines FROM conversations)
         SELECT conv_id, turn * 2.5::DOUBLE AS start, turn * 2.5::DOUBLE + 2 AS "end", array_to_string(lines, chr(10)) AS body FROM a WHERE len(lines) > 0""",
     "probe_json": """WITH a AS (SELECT p_partkey AS p, CAST(round((p_partkey % 1000 + 16) * (p_partkey % 5 + 1)::DOUBLE / 3) AS BIGINT) AS w FROM part)

@@ -145,7 +145,7 @@ ORACLE_SQL = {
         b AS (SELECT event_id, k, j, {_WRITTEN.format(k="k", n="(v % 500)")} AS s, {_WRITTEN.format(k="j", n="(v % 700)")} AS e FROM a),
         c AS (SELECT *, CASE WHEN k <> 0 AND s IS NULL THEN 'start is no time' WHEN j <> 0 AND e IS NULL THEN 'end is no time' WHEN s >= e THEN 'end must be after start' WHEN s >= {WHOLE} THEN 'start is beyond the end of the clip' END AS error FROM b)
         SELECT event_id, CASE WHEN error IS NULL THEN coalesce(s, 0) END AS start, CASE WHEN error IS NULL THEN least(coalesce(e, {WHOLE}), {WHOLE}) END AS "end", error FROM c""",
-    "text_boxes": f"""SELECT conv_id, turn, CAST(length(regexp_replace(coalesce(text, ''), '[\x20-\x7e\s]', '', 'g')) AS BIGINT) AS missing,
+    "text_boxes": f"""SELECT conv_id, turn, CAST(length(regexp_replace(coalesce(text, ''), '[\\x20-\\x7e\\s]', '', 'g')) AS BIGINT) AS missing,
         CAST(least(list_max(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: length(l))) + 2, {WIDEST}) AS BIGINT) AS width FROM conversations""",
     "user_totals": "SELECT user_id, count(*) AS n, CAST(sum((length(props) + 3) // 4 * 4 + 4) AS BIGINT) AS n_bytes, bool_or(event_type = 'purchase') AS any_purchase FROM events GROUP BY user_id",
 }
