@@ -139,6 +139,16 @@ def test_configurations_hold_the_histogram(histogram):
     assert held == Counter({k: n for k, n in histogram.items() if n})
 
 
+def test_op4_small_shards_give_the_same_rows(spark, sf, monkeypatch):
+    want = Counter(map(tuple, queries.op4_arrow_streams(spark, sf).collect()))
+    monkeypatch.setattr(arrowout, "SHARD", 20_000)
+    monkeypatch.setattr(arrowout, "ROOMY", (1 << 14, 1_000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = arrowout.round_trip(docs, queries.BYTE_BPE)
+    assert got.select("shard").distinct().count() > 4
+    assert Counter(map(tuple, got.drop("shard").collect())) == want
+
+
 def test_op4_equals_the_library(spark, sf, documents, byte):
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op4_arrow_streams(spark, sf).collect()}
     start, want = 0, {}

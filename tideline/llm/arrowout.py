@@ -4,7 +4,8 @@ Documents are dealt by ranges of doc_id, each task encodes its range in ascendin
 to the shared folder: the sequences (`ids` and `mask`, fixed-size lists; every record batch but the last holds the
 same number of equal-length sequences, so any sequence lies at a computable place of a memory map) and the documents
 (doc_id, start, n_tokens within the shard). Each document ends with an end id; a shard's last sequence is padded and
-its mask is false there. Files appear under their final name only when whole, and a task that runs again writes the
+its mask is false there. A task begins a new shard after SHARD ids, at a document's end, so a file's size doesn't grow with the
+input (but for a single longer document); shards are numbered in order. Files appear under their final name only when whole, and a task that runs again writes the
 same bytes, so a lost executor costs its tasks alone.
 
 Null texts count as empty (their end id remains). Equal doc_ids, and null ones, which come first, are ordered by a
@@ -29,6 +30,8 @@ from .tokens import ROOMY, encoder
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 1024, 256
+#: Ids of a shard, about; shards of a task at most.
+SHARD, SHARDS = 1 << 26, 1 << 20
 
 
 def stream_schema(vocabulary: int, sequence: int = SEQUENCE) -> pa.Schema:
@@ -47,7 +50,7 @@ class _Shard:
         self.store, root = fs.FileSystem.from_uri(folder)
         self.store.create_dir(root, recursive=True)
         self.schema, self.sequence = schema, schema.field("ids").type.list_size
-        self.names = [f"{root}/{kind}-{shard:08d}.arrows" for kind in ("sequences", "documents")]
+        self.names = [f"{root}/{kind}-{shard:014d}.arrows" for kind in ("sequences", "documents")]
         self.drafts = [f"{n}.{uuid.uuid4().hex}" for n in self.names]
         self.files = [self.store.open_output_stream(d) for d in self.drafts]
         self.out = [pa.ipc.new_stream(f, s) for f, s in zip(self.files, (schema, DOCUMENTS), strict=True)]
@@ -85,7 +88,7 @@ def write_streams(docs: DataFrame, path: str, folder: str, end_id: int, id_col:
     """Write all documents below `folder`; returns a row per shard: shard, n_documents, n_tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out, n = TaskContext.get().partitionId(), None, 0
+        shard, out, n = TaskContext.get().partitionId() * SHARDS, None, 0
         enc = encoder(path)
         for batch in batches:
             for b in slices(batch, limit=ROOMY[0]):
@@ -93,14 +96,18 @@ def write_streams(docs: DataFrame, path: str, folder: str, end_id: int, id_col:
                 flat, counts = enc.encode(b["text"])
                 out.add(b["doc_id"], np.insert(flat, np.cumsum(counts), end_id), counts + 1)
                 n += len(b)
+                if out.total >= SHARD:
+                    out.close()
+                    yield pa.record_batch([pa.array([shard]), pa.array([n]), pa.array([out.total])], ["shard", "n_documents", "n_tokens"])
+                    shard, out, n = shard + 1, None, 0
         if out:
             out.close()
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([n]), pa.array([out.total])], ["shard", "n_documents", "n_tokens"])
+            yield pa.record_batch([pa.array([shard]), pa.array([n]), pa.array([out.total])], ["shard", "n_documents", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(rows.rdd.getNumPartitions(), *order).sortWithinPartitions(*order)
-    return kept(dealt.mapInArrow(work, "shard int, n_documents long, n_tokens long"), "arrow-manifest")
+    return kept(dealt.mapInArrow(work, "shard long, n_documents long, n_tokens long"), "arrow-manifest")
 
 
 class SequenceFile:
@@ -109,7 +116,7 @@ class SequenceFile:
     def __init__(self, folder: str, shard: int) -> None:
         store, root = fs.FileSystem.from_uri(folder)
         local = isinstance(store, fs.LocalFileSystem)
-        opened = [(pa.memory_map(n) if local else store.open_input_file(n)) for n in (f"{root}/{kind}-{shard:08d}.arrows" for kind in ("sequences", "documents"))]
+        opened = [(pa.memory_map(n) if local else store.open_input_file(n)) for n in (f"{root}/{kind}-{shard:014d}.arrows" for kind in ("sequences", "documents"))]
         self.batches = list(pa.ipc.open_stream(opened[0]))
         self.documents = pa.ipc.open_stream(opened[1])
         self.flat = [b["ids"].flatten().to_numpy() for b in self.batches]
@@ -148,10 +155,10 @@ def read_streams(manifest: DataFrame, folder: str) -> DataFrame:
                             crc = zlib.crc32(view.astype("<u4"), crc)
                         sums.append(crc)
                     starts = np.asarray(docs["start"]) + base
-                    yield pa.record_batch([docs["doc_id"], pa.array(starts), docs["n_tokens"], pa.array(sums, pa.int64()), pa.array(np.full(len(docs), shard), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+                    yield pa.record_batch([docs["doc_id"], pa.array(starts), docs["n_tokens"], pa.array(sums, pa.int64()), pa.array(np.full(len(docs), shard))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     n = max(1, manifest.count())
-    return shards.repartition(n, "shard").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return shards.repartition(n, "shard").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
