@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) ->
                 x = terms(pc.fill_null(b["text"], "").to_pylist())
                 yield pa.record_batch([b["doc_id"], b["label"], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "terms"])
 
-    got = sample.mapInArrow(count, "doc_id long, label int, terms binary").collect()  # about 2 * SAMPLE_EACH rows of 4 KB
+    # about 2 * SAMPLE_EACH rows of 4 KB; rows that repeat count once, and ids that repeat with other texts are bounded too
+    got = sample.mapInArrow(count, "doc_id long, label int, terms binary").distinct().limit(4 * sample_each).collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["terms"]))
     tf = np.frombuffer(b"".join(r["terms"] for r in got), np.float32).reshape(-1, width)
     labels = np.array([r["label"] for r in got], np.float64)
