@@ -51,7 +51,7 @@ WORDS, PERCENT = 5, 80
 #: Bytes of text a task handles at once; signatures a bucket should hold, about; the fewest buckets.
 SLICE, PER_BUCKET, FEWEST = 1 << 20, 1_000_000, 64
 #: Signatures that a task holds of one bucket at most.
-MOST_IN_BUCKET = 8_000_000
+MOST_IN_BUCKET = 3_000_000
 #: Members up to which a signature's group gives all its pairs.
 SMALL_GROUP = 4
 #: Members of a large group that a task compares with as many others, about.
