@@ -2,13 +2,53 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.operators import segments
+from tideline.operators import ordered, segments, signal
 from tideline.operators.ordered import Stream
+from tideline.streaming import running
 from tideline.streaming.segments import segmented
 
 
+def pushed(spark, folder, rows, schema, use, parts=3):
+    """The rows that `use` gives for a stream of the rows, file by file."""
+    size = -(-len(rows) // parts)
+    for part in range(parts):
+        spark.createDataFrame(rows[part * size : part * size + size], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    name = f"pushed_{use.__name__}"
+    query = use(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    return spark.table(name).collect()
+
+
+def test_pushed_budget_equals_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i % 2, i, rng.choice([None, 0, 1, 5])) for i in range(60)]
+
+    def budget(stream):
+        return running.within_budget(stream, "k", "at", "n", 40)
+
+    got = {(r["key"], r["ord"]): (r["running_cost"], r["fits"]) for r in pushed(spark, tmp_path, rows, "k long, at long, n long", budget)}
+    df = spark.createDataFrame(rows, "k long, at long, n long")
+    batch = ordered.within_budget(df, Stream(["k"], ["at"], F.floor(F.col("at") / 16)), F.coalesce("n", F.lit(0)), 40)
+    assert got == {(r["k"], r["at"]): (r["running_cost"], r["fits"]) for r in batch.collect()}
+
+
+def test_pushed_resampling_is_the_beginning_of_the_batch_form(spark, tmp_path):
+    x = 0.5 * np.sin(2 * np.pi * 440 * np.arange(900) / 48000)
+    rows = [(1, i, float(v)) for i, v in enumerate(x)]
+
+    def resampling(stream):
+        return running.resampled(stream, "k", "at", "v", 48000.0, 13379.0)
+
+    got = [r["sample"] for r in sorted(pushed(spark, tmp_path, rows, "k long, at long, v double", resampling), key=lambda r: r["place"])]
+    blocks = spark.createDataFrame([(1, 0, 0, x.tolist())], "k long, block long, start long, x array<double>")
+    whole = signal.resampled(blocks, "k", "block", "start", "x", 48000.0, 13379.0).first()["out"]
+    assert got == whole[: len(got)] and len(whole) - len(got) <= 12
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i % 2, i, float(rng.choice([0, 10, 40, 300]))) for i in range(120)]
