@@ -35,7 +35,8 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -166,27 +167,27 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
 
 
-def _members(docs: DataFrame) -> DataFrame:
+def _members(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """(doc_id, row_key, n_shingles, set_id); no set: null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, limit=SLICE):
-                sets = shingle_sets(b["text"].to_pylist())
+                sets = shingle_sets(b["text"].to_pylist(), scheme.words)
                 ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
                 yield pa.record_batch([b["doc_id"], b["row_key"], pa.array([len(s) for s in sets], pa.int64()), ids], ["doc_id", "row_key", "n_shingles", "set_id"])
 
     return docs.mapInArrow(work, "doc_id long, row_key long, n_shingles long, set_id long")
 
 
-def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, buckets: int, scheme: Scheme) -> DataFrame:
     """(bucket, sigs, ids): six bytes per signature, eight per set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch.select(["text"]), limit=SLICE):
-                different = {set_id(s): s for s in shingle_sets(b["text"].to_pylist()) if len(s)}
-                whose, sig = signatures(list(different.values()))
+                different = {set_id(s): s for s in shingle_sets(b["text"].to_pylist(), scheme.words) if len(s)}
+                whose, sig = scheme.signatures(list(different.values()))
                 if not len(sig):
                     continue
                 ids = np.array(list(different), np.int64)[whose]
@@ -311,13 +312,13 @@ def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int = SHORT) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, scheme: Scheme) -> DataFrame:
     """(set_id, size, sketch, hashes) of each wanted set (set_id, row_key), from one of its rows; `width` bytes per shingle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, limit=SLICE):
-                sets = shingle_sets(b["text"].to_pylist())
+                sets = shingle_sets(b["text"].to_pylist(), scheme.words)
                 first: dict[int, int] = {}  # equal rows, and another text with the key of a wanted one
                 for i, (s, wanted_id) in enumerate(zip(sets, b["set_id"].to_pylist(), strict=True)):
                     if len(s) and wanted_id not in first and set_id(s) == wanted_id:
@@ -325,7 +326,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int = SHORT) -> DataFrame:
                 same = list(first.values())
                 sets, b = [sets[i] for i in same], b.take(pa.array(same, pa.int64()))
                 data = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes() for s in sets]
-                columns = [b["set_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity, sets), pa.binary()), pa.array(data, pa.binary())]
+                columns = [b["set_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(scheme.sketch, sets), pa.binary()), pa.array(data, pa.binary())]
                 yield pa.record_batch(columns, ["set_id", "size", "sketch", "hashes"])
 
     n = wanted.count()
@@ -340,18 +341,32 @@ def _both(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
     return pairs
 
 
-def _most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """In how many shingles linked sets of these sizes differ at most; -1 if their sizes forbid a link."""
     apart = (n + m) * (100 - PERCENT) // (100 + PERCENT)
     return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT, apart, -1)
 
 
-def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Scheme:
+    """How pairs are found: words of a shingle, similarity in percent, the signatures of sets of which one is shared by each linked pair, a sketch of a set, and in how many bits the sketches of linked sets of given sizes differ at most (-1: their sizes forbid a link)."""
+
+    words: int
+    percent: int
+    signatures: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
+    sketch: Callable[[np.ndarray], bytes]
+    most_apart: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+PARTENUM = Scheme(WORDS, PERCENT, signatures, parity, most_apart)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs that sizes and sketches allow, with their other columns."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = _most_apart(batch["a_size"].to_numpy(), batch["b_size"].to_numpy())
+            most = scheme.most_apart(batch["a_size"].to_numpy(), batch["b_size"].to_numpy())
             ok = most >= 0
             for i in np.flatnonzero(ok).tolist():
                 x, y = (np.frombuffer(batch[c][i].as_py(), np.uint8) for c in ("a_sketch", "b_sketch"))
@@ -371,7 +386,7 @@ def in_common(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return equal - repeats, repeats
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, sure, linked) of each pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +394,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
             sure, linked = [], []
             for x, y, n, m in zip(batch["a_hashes"], batch["b_hashes"], batch["a_size"].to_pylist(), batch["b_size"].to_pylist(), strict=True):
                 common, repeats = in_common(_widen(x.as_py(), width), _widen(y.as_py(), width))
-                least = -(-PERCENT * (n + m) // (100 + PERCENT))  # links share so many at least
+                least = -(-percent * (n + m) // (100 + percent))  # links share so many at least
                 linked.append(common >= least)
                 sure.append(width == 8 or abs(common - least) > UNSURE + repeats)
             yield pa.record_batch([batch["a"], batch["b"], pa.array(sure, pa.bool_()), pa.array(linked, pa.bool_())], ["a", "b", "sure", "linked"])
@@ -387,15 +402,15 @@ def _compare(pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     return _both(pairs.select("a", "b"), sets, "hashes").select("a", "b", "a_size", "b_size", "a_hashes", "b_hashes").mapInArrow(work, "a long, b long, sure boolean, linked boolean")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, reps: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs (a, b) that link. Hashes lose their last bytes first; where that can decide a pair, all bytes are fetched from its texts."""
-    first = kept(_compare(pairs, sets, SHORT), "jaccard-links")
+    first = kept(_compare(pairs, sets, SHORT, scheme.percent), "jaccard-links")
     links = first.where("sure and linked").select("a", "b")
     close = first.where("not sure").select("a", "b")
     if close.isEmpty():
         return links
     wanted = kept(reps.join(close.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id"), "jaccard-wanted")
-    again = kept(_compare(close, _sets(docs, wanted, 8), 8), "jaccard-links")
+    again = kept(_compare(close, _sets(docs, wanted, 8, scheme), 8, scheme.percent), "jaccard-links")
     return links.union(again.where("linked").select("a", "b"))
 
 
@@ -413,13 +428,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = PARTENUM) -> DataFrame:
     """(doc_id, row_key, n_shingles, set_id, label, component_id): a name of each row's class (null without a set), and the smallest doc_id in it."""
     rows = _keyed(docs, id_col, text_col)
-    members = kept(_members(rows), "jaccard-members")
+    members = kept(_members(rows, scheme), "jaccard-members")
     total = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(FEWEST, int(total) // 2 // PER_BUCKET)
-    found = kept(_candidates(_blocks(rows, buckets), MOST_IN_BUCKET), "jaccard-candidates")
+    found = kept(_candidates(_blocks(rows, buckets, scheme), MOST_IN_BUCKET), "jaccard-candidates")
     reps = kept(members.where("set_id is not null").groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id")), "jaccard-sets")
     of_set = reps.select("set_id", "row_key")
     pairs = found.where("members is null and sigs is null").select("a", "b", "n")
@@ -429,10 +444,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         pairs, wide = pairs.union(more), kept(wide, "jaccard-overgrown-groups")
     pairs = kept(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    sets = _sets(rows, kept(of_set.join(wanted, "set_id"), "jaccard-wanted"))
-    possible = kept(_possible(pairs, sets), "jaccard-possible")
+    sets = _sets(rows, kept(of_set.join(wanted, "set_id"), "jaccard-wanted"), SHORT, scheme)
+    possible = kept(_possible(pairs, sets, scheme), "jaccard-possible")
     best = possible.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    early = kept(_verify(best, sets, rows, of_set), "jaccard-early")
+    early = kept(_verify(best, sets, rows, of_set, scheme), "jaccard-early")
     parent = early.select(F.col("b").alias("id"), F.col("a").alias("label"))
 
     def label(df: DataFrame, col: str) -> DataFrame:
@@ -442,7 +457,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return one.join(up2, f"{col}_top", "left").withColumn(f"{col}_top", F.coalesce("up2", f"{col}_top")).drop("up2")
 
     rest = label(label(possible.join(best, ["a", "b"], "left_anti"), "a"), "b").where("a_top != b_top").select("a", "b")
-    links = early.union(_verify(kept(rest, "jaccard-rest"), sets, rows, of_set))
+    links = early.union(_verify(kept(rest, "jaccard-rest"), sets, rows, of_set, scheme))
     label_of = components(links)
     # large groups whose first member missed someone of another class
     missed = _classes_of(pairs.select("a", "b"), label_of).where("a_label != b_label").select("a").distinct()
@@ -453,7 +468,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     open_groups = kept(open_groups, "jaccard-groups")
     if not open_groups.isEmpty():
         for forest in (True, False):
-            more = kept(_verify(kept(_within(open_groups, label_of, sets, forest), "jaccard-rest"), sets, rows, of_set), "jaccard-more")
+            more = kept(_verify(kept(_within(open_groups, label_of, sets, forest, scheme), "jaccard-rest"), sets, rows, of_set, scheme), "jaccard-more")
             if not more.isEmpty():
                 links = links.union(more)
                 label_of = components(links)
@@ -476,7 +491,7 @@ def _group_rows(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(members, "group long, id long")
 
 
-def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame, forest: bool, scheme: Scheme) -> DataFrame:
     """Distinct pairs (a, b) of members of a group that sizes and sketches allow and whose classes differ.
 
     forest: of these, no more pairs from a comparison than join its classes, were they all links. The members of a group's
@@ -501,7 +516,7 @@ def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame, forest: boo
         left, right = [], []
         for i in range(len(ids)):
             near = np.flatnonzero((root != root[i]) & (ids > ids[i]) & (same_block | (own != own[i])))
-            most = _most_apart(size[i], size[near])
+            most = scheme.most_apart(size[i], size[near])
             near, most = near[most >= 0], most[most >= 0]
             near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64) <= most]
             if forest and len(near):
@@ -566,7 +581,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     in_small = _sized_join(of.join(large, "label", "left_anti"), small, n_small, "label")
     in_small = in_small.select("set_id", "row_key", "label", "copies", zero.alias("own"), zero.alias("x"), zero.alias("y"), F.pmod(F.xxhash64("label"), F.lit(n_buckets)).alias("cell"))
     placed = kept(in_large.union(in_small), "links-places")
-    hashes = _sets(rows, kept(placed.select("row_key", "set_id").distinct(), "links-wanted"), 8).select("set_id", "hashes")
+    hashes = _sets(rows, kept(placed.select("row_key", "set_id").distinct(), "links-wanted"), 8, PARTENUM).select("set_id", "hashes")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         label, ids = group["label"].to_numpy(), group["set_id"].to_numpy()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowout, bpe, jaccard, langid, lm, media, packing, quality, secrets, topk
+from . import arrowout, bpe, jaccard, langid, lm, media, oddsketch, packing, quality, secrets, topk
 from .common import fold, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,19 +63,31 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op5_links, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk)}
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op5_links, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk, op13_odd_sketch)}
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-#: The two joins have DuckDB forms: all pairs by shared shingles, and all products. Models, tokenizers and media have none.
-ORACLE_SQL: dict[str, str] = {
-    "op5_jaccard": f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-        runs AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {jaccard.WORDS - 2}), lambda i: array_to_string(w[i:i + {jaccard.WORDS - 1}], ' ')) END AS s FROM words),
+
+
+def _near(words: int, percent: int, more: str = "") -> str:
+    """Classes of documents by all pairs that share a shingle."""
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        runs AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')) END AS s FROM words),
         shingles AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(s) AS s FROM runs),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY x, y),
-        links AS MATERIALIZED (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {jaccard.PERCENT} * (p.n + q.n - c)),
+        links AS MATERIALIZED (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)),
         both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
         reach AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other)
-        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(other), d.doc_id) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id""",
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(other), d.doc_id) AS component_id{more} FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id"""
+
+
+#: The joins have DuckDB forms: all pairs by shared shingles, all products, all scores. Models, tokenizers and media have none.
+ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard": _near(jaccard.WORDS, jaccard.PERCENT),
+    "op13_odd_sketch": _near(oddsketch.WORDS, oddsketch.PERCENT, ", coalesce(min(other), d.doc_id) = d.doc_id AS kept"),
     "op10_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
         scored AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
