@@ -50,6 +50,8 @@ def odd_dir(spark, tmp_path_factory):
     extra = docs.select("*", *[F.lit(7).alias(c) for c in ("score", "ids", "slice", "length", "bucket", "set_id", "label", "sigs", "learn", "rank", "spans", "terms", "n_tokens", "piece", "members")])
     extra.write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, None), (None, 1, 1), (7, 1, 0), (10, 0, 0), (8, 5, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    items = [(1, "one two word again 12"), (1, "six SEVEN"), (2, None), (3, "..."), (None, "so on é a"), (4, "a " * 500)]
+    spark.createDataFrame(items, "item_id long, text string").select("*", F.lit(1).alias("score"), F.lit(2).alias("block")).write.parquet(f"{top}/benchmark.parquet")
     vectors = [(None, [1.0, 2.0]), (0, [0.5, -0.25]), (20, [0.5, -0.25]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 1.0]), (8, [1.0, 1.0]), (40, [-1.0, 0.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("score"), F.lit(2).alias("rank"), F.lit("x").alias("pivot")).write.parquet(f"{top}/embeddings.parquet")
     return str(top)
@@ -58,7 +60,7 @@ def odd_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_dir(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{top}/{name}.parquet")
     return str(top)
 

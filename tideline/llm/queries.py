@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowout, bpe, jaccard, langid, lm, media, oddsketch, packing, quality, secrets, topk
+from . import arrowout, bpe, jaccard, langid, lexical, lm, media, oddsketch, packing, quality, secrets, topk
 from .common import fold, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,12 +63,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op5_links, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk, op13_odd_sketch)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op5_links, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk, op12_lexical, op13_odd_sketch)}
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 
 def _near(words: int, percent: int, more: str = "") -> str:
@@ -92,4 +97,11 @@ ORACLE_SQL: dict[str, str] = {
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
         scored AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 20""",
+    "op12_lexical": f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents), docs AS (SELECT *, len(t) AS n FROM d WHERE len(t) > 0),
+        tot AS (SELECT count(*) AS nn, sum(n) AS ll FROM docs), items AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        tf AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY k, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY term),
+        m AS (SELECT k, doc_id, CAST(50 + (50 * n * nn) // ll AS BIGINT) AS m FROM docs, tot),
+        scored AS (SELECT item_id, k, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM items JOIN tf USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY item_id, k)
+        SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER best <= {lexical.K}""",
 }
