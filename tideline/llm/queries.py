@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowout, bpe, jaccard, langid, lexical, lm, media, oddsketch, packing, quality, secrets, topk
+from . import arrowout, bpe, jaccard, langid, lexical, lm, media, oddsketch, packing, phrases, quality, secrets, topk
 from .common import fold, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +75,7 @@ def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oddsketch.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op5_links, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk, op12_lexical, op13_odd_sketch)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_packing, op4_arrow_streams, op5_jaccard, op5_links, op6_lm, op7_media, op8_quality, op9_secrets, op10_topk, op11_phrases, op12_lexical, op13_odd_sketch)}
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
@@ -97,6 +101,18 @@ ORACLE_SQL: dict[str, str] = {
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
         scored AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 20""",
+    "op11_phrases": f"""WITH RECURSIVE pieces AS (SELECT row_number() OVER () AS p, lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM
+            (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LETTERS}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)) WHERE len(w) > 0),
+        n AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+        grams AS MATERIALIZED (SELECT lang, phrase, size, count(*) AS f FROM (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, range(1, {phrases.LONGEST + 1}) s(size)))
+            GROUP BY lang, phrase, size HAVING count(*) >= {phrases.MIN}),
+        cand AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1),
+        inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(list_transform(range(1, c.size - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase FROM cand c, range(2, {phrases.LONGEST}) t(s) WHERE s < c.size) GROUP BY lang, phrase),
+        own AS (SELECT c.* FROM cand c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE longer IS NULL OR 100 * longer < 100 * a),
+        cuts AS (SELECT o.lang, o.phrase, o.a, k, l.f AS l, r.f AS r, n.n, CAST((1000::HUGEINT * o.a * n.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM own o JOIN range(1, {phrases.LONGEST}) t(k) ON k < o.size
+            JOIN grams l ON l.lang = o.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN grams r ON r.lang = o.lang AND r.phrase = array_to_string(w[k + 1:], ' ') JOIN n ON n.lang = o.lang),
+        lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM lowest WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER best <= {phrases.TOP}""",
     "op12_lexical": f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents), docs AS (SELECT *, len(t) AS n FROM d WHERE len(t) > 0),
         tot AS (SELECT count(*) AS nn, sum(n) AS ll FROM docs), items AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
         tf AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY k, term),
