@@ -16,7 +16,8 @@ repetitions within a slice of text; a bucket sorts its signatures, gives every p
 one the pairs with its first member and the list of members. A bucket that outgrows MOST_IN_BUCKET signatures (one
 signature of very many sets) is passed on and grouped by Spark's own aggregation, its groups as rows, never as one
 list. Two exact tests precede the full one: the sizes, and parity sketches (a bit per hash bucket, the parity of its
-shingles; two sets differ in at least as many shingles as their sketches in bits). Each set's most frequent pair is
+shingles; two sets differ in at least as many shingles as their sketches in bits). A Scheme can bring other signatures,
+and a sketch to test before. Each set's most frequent pair is
 verified first on the full sets, then what still spans two of the classes known; a verification counts 40 bits of
 each shingle hash, and pairs that come within a few shingles of the limit are counted again on all 64. Where a large
 group holds members of several classes after that, its members are compared by sketch in blocks of bounded size,
@@ -341,24 +342,30 @@ def _both(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
     return pairs
 
 
-def most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def most_apart(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """In how many shingles linked sets of these sizes differ at most; -1 if their sizes forbid a link."""
-    apart = (n + m) * (100 - PERCENT) // (100 + PERCENT)
-    return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT, apart, -1)
+    apart = (n + m) * (100 - percent) // (100 + percent)
+    return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * percent, apart, -1)
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """How pairs are found: words of a shingle, similarity in percent, the signatures of sets of which one is shared by each linked pair, a sketch of a set, and in how many bits the sketches of linked sets of given sizes differ at most (-1: their sizes forbid a link)."""
+    """How pairs are found: words of a shingle, similarity in percent, and the signatures of sets, of which each linked pair shares one.
+
+    odd: another sketch of a set, of odd_bytes bytes, which in linked sets differs in most_odd bits at most; it is tested before the parities."""
 
     words: int
     percent: int
     signatures: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
-    sketch: Callable[[np.ndarray], bytes]
-    most_apart: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    odd: Callable[[np.ndarray], bytes] | None = None
+    odd_bytes: int = 0
+    most_odd: int = 0
+
+    def sketch(self, s: np.ndarray) -> bytes:
+        return (self.odd(s) if self.odd else b"") + parity(s)
 
 
-PARTENUM = Scheme(WORDS, PERCENT, signatures, parity, most_apart)
+PARTENUM = Scheme(WORDS, PERCENT, signatures)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -366,12 +373,15 @@ def _possible(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most = scheme.most_apart(batch["a_size"].to_numpy(), batch["b_size"].to_numpy())
+            most = most_apart(batch["a_size"].to_numpy(), batch["b_size"].to_numpy(), scheme.percent)
             ok = most >= 0
             for i in np.flatnonzero(ok).tolist():
                 x, y = (np.frombuffer(batch[c][i].as_py(), np.uint8) for c in ("a_sketch", "b_sketch"))
+                if scheme.odd_bytes:
+                    ok[i] = int(np.bitwise_count(x[: scheme.odd_bytes] ^ y[: scheme.odd_bytes]).sum()) <= scheme.most_odd
+                    x, y = x[scheme.odd_bytes :], y[scheme.odd_bytes :]
                 size = min(len(x), len(y))
-                ok[i] = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= most[i]
+                ok[i] = ok[i] and int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= most[i]
             yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
 
     return _both(pairs, sets, "sketch").select("a", "b", "n", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(work, "a long, b long, n long")
@@ -509,6 +519,7 @@ def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame, forest: boo
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         ids, size, label, own = (group[c].to_numpy() for c in ("id", "size", "label", "own"))
         raw = [np.frombuffer(x, np.uint8) for x in group["sketch"].to_pylist()]
+        odd, raw = np.stack([x[: scheme.odd_bytes] for x in raw]), [x[scheme.odd_bytes :] for x in raw]
         width = min(map(len, raw))
         bits = np.stack([_folded(x, width) for x in raw])
         same_block = key[1].as_py() == key[2].as_py()
@@ -516,8 +527,11 @@ def _within(groups: DataFrame, label_of: DataFrame, sets: DataFrame, forest: boo
         left, right = [], []
         for i in range(len(ids)):
             near = np.flatnonzero((root != root[i]) & (ids > ids[i]) & (same_block | (own != own[i])))
-            most = scheme.most_apart(size[i], size[near])
+            most = most_apart(size[i], size[near], scheme.percent)
             near, most = near[most >= 0], most[most >= 0]
+            if scheme.odd_bytes:
+                few = np.bitwise_count(odd[near] ^ odd[i]).sum(1, dtype=np.int64) <= scheme.most_odd
+                near, most = near[few], most[few]
             near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64) <= most]
             if forest and len(near):
                 roots, at = np.unique(root[near], return_index=True)

@@ -7,7 +7,7 @@ its function, are folded into the parity bits of an odd sketch. In the exclusive
 differ count, so its population count tells the similarity, most precisely where it is high; the fewer samples differ
 the less they meet in a bit. A pair goes to the full comparison unless its count is above MOST_BITS, which a pair of
 similarity 0.85 or more exceeds with a probability below 1e-10 (computed from the binomial number of differing samples
-and the walk of the count as they are folded in).
+and the walk of the count as they are folded in) or the parities of the full sets already forbid it (see jaccard.py).
 
 Bands are grouped, large groups are kept as members instead of pairs, links are confirmed on the full sets and their
 classes found as described in jaccard.py; equal sets count as one throughout, and nothing about documents is gathered
@@ -86,18 +86,13 @@ def most_bits(percent: int = PERCENT, loss: float = LOSS) -> int:
     return int(np.flatnonzero(beyond <= loss)[0]) - 1
 
 
-def most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """In how many bits the sketches of linked sets of these sizes differ at most; -1 if their sizes forbid a link."""
-    return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT, most_bits(), -1)
-
-
 def estimate(a: bytes, b: bytes) -> float:
     """The similarity that two sketches tell; those too far apart for the estimate give 0."""
     odd = int(np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
     return max(0.0, 1 + BITS / (4 * SAMPLES) * np.log1p(-2 * odd / BITS)) if 2 * odd < BITS else 0.0
 
 
-SCHEME = jaccard.Scheme(WORDS, PERCENT, signatures, sketch, most_apart)
+SCHEME = jaccard.Scheme(WORDS, PERCENT, signatures, sketch, BITS // 8, most_bits())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
