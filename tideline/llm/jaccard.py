@@ -162,6 +162,26 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(whose), np.concatenate(found)
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """How pairs are found: words of a shingle, similarity in percent, and the signatures of sets, of which each linked pair shares one.
+
+    odd: another sketch of a set, of odd_bytes bytes, which in linked sets differs in most_odd bits at most; it is tested before the parities."""
+
+    words: int
+    percent: int
+    signatures: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
+    odd: Callable[[np.ndarray], bytes] | None = None
+    odd_bytes: int = 0
+    most_odd: int = 0
+
+    def sketch(self, s: np.ndarray) -> bytes:
+        return (self.odd(s) if self.odd else b"") + parity(s)
+
+
+PARTENUM = Scheme(WORDS, PERCENT, signatures)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, row_key, text): rows of one key are equal rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -181,7 +201,7 @@ def _members(docs: DataFrame, scheme: Scheme) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, row_key long, n_shingles long, set_id long")
 
 
-def _blocks(docs: DataFrame, buckets: int, scheme: Scheme) -> DataFrame:
+def _blocks(docs: DataFrame, buckets: int, scheme: Scheme = PARTENUM) -> DataFrame:
     """(bucket, sigs, ids): six bytes per signature, eight per set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,26 +368,6 @@ def most_apart(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarr
     return np.where(np.minimum(n, m) * 100 >= np.maximum(n, m) * percent, apart, -1)
 
 
-@dataclass(frozen=True)
-class Scheme:
-    """How pairs are found: words of a shingle, similarity in percent, and the signatures of sets, of which each linked pair shares one.
-
-    odd: another sketch of a set, of odd_bytes bytes, which in linked sets differs in most_odd bits at most; it is tested before the parities."""
-
-    words: int
-    percent: int
-    signatures: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
-    odd: Callable[[np.ndarray], bytes] | None = None
-    odd_bytes: int = 0
-    most_odd: int = 0
-
-    def sketch(self, s: np.ndarray) -> bytes:
-        return (self.odd(s) if self.odd else b"") + parity(s)
-
-
-PARTENUM = Scheme(WORDS, PERCENT, signatures)
-
-
 def _possible(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     """The pairs that sizes and sketches allow, with their other columns."""
 
