@@ -146,13 +146,44 @@ def test_wrapping(spark):
         assert r["w"] == wrap_slowly(r["s"], 10, 3), r["s"]
 
 
-def test_fitted_text():
-    mono = lambda s, size: len(s) * size * 0.5
-    assert fitting.fit(["short"], mono) == (12, ["short"])
-    size, lines = fitting.fit(["word " * 60], mono)
-    assert size == 9 and len(lines) == 2 and lines[1].endswith("…")
-    assert all(mono(s, 9) <= fitting.WIDTH for s in lines)
-    assert len(fitting.fit(["w" * 50], mono)[1]) <= 2
+def rows_slowly(lines, room):
+    out = []
+    for line in lines:
+        words = line.split()
+        while words:
+            n = max([i for i in range(1, len(words) + 1) if len(" ".join(words[:i])) <= room], default=0)
+            out.append(" ".join(words[:n]) if n else words[0][:room])
+            words = words[n:] if n else [words[0][room:], *words[1:]]
+    return out
+
+
+def fit_slowly(lines):
+    for size in (12, 11, 10, 9):
+        rows = rows_slowly(lines, int(232 // (size * 0.5)))
+        if len(rows) <= 2:
+            return size, rows
+    return 9, [rows[0], rows[1][:50].rstrip() + "…"]
+
+
+def test_fitted_text(spark):
+    rng = random.Random(8)
+    cases = [["short"], ["word " * 60], ["w" * 50], ["w" * 51 + " x"], ["w" * 300], [], [""], ["a", "", "b\t c", "d"], ["x" * 38 + " " + "y" * 40]]
+    for _ in range(150):
+        cases.append(["".join(rng.choice("abc    \t") * rng.choice([1, 1, 1, 9]) for _ in range(rng.choice([0, 5, 40, 90]))) for _ in range(rng.randrange(4))])
+    df = spark.createDataFrame([(x,) for x in cases], "lines array<string>")
+    for r in df.select("lines", fitting.fitted(F.col("lines")).alias("f")).select("lines", "f.size", "f.lines").toDF("given", "size", "rows").collect():
+        assert (r["size"], r["rows"]) == fit_slowly(r["given"]), r["given"]
+    odd = spark.createDataFrame([(None,), ([None, "one two"],)], "lines array<string>")
+    assert [(r["f"]["size"], r["f"]["lines"]) for r in odd.select(fitting.fitted(F.col("lines")).alias("f")).collect()] == [(12, []), (12, ["one two"])]
+
+
+@pytest.mark.parametrize("white", ["\t", "\n", "\r\n", "\u00a0", "\u2003", "\x0b"])
+def test_white_space_of_every_kind_is_stripped(spark, white):
+    one = spark.createDataFrame([(f"{white}90{white}", f"{white}1:02,500 {white}", f"{white} A é {white}")], "t string, s string, n string")
+    got = one.select(text.parse_time(F.col("t")), text.parse_timestamp(F.col("s")), text.ascii_title(F.col("n"))).first()
+    assert tuple(got) == (90.0, 62.5, "A ?")
+    doc = f"1\n00:00:01,000{'' if chr(10) in white else white}-->{'' if chr(10) in white else white}00:00:02,000\nhello\n"
+    assert subtitles.parsed(spark.createDataFrame([(doc,)], "doc string"), "doc").first()["lines"] == ["hello"]
 
 
 def test_subtitle_documents(spark):

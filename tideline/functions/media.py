@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import parse_time
+from .text import parse_time, stripped
 
 # Screen size, audio rate, samples of an audio block, samples of a clock tick.
 SCREEN_W, SCREEN_H, RATE, BLOCK_SAMPLES, TICK = 240, 160, 13379, 2048, 224
@@ -140,7 +140,7 @@ def unpacked(data: Column) -> Column:
 
 def trimmed(start: Column, end: Column, whole: Column) -> Column:
     """start and end in seconds of two time strings, of which either may be blank, within a clip of `whole` seconds; or what is wrong with them."""
-    blank = [F.trim(s) == "" for s in (start, end)]
+    blank = [stripped(s) == "" for s in (start, end)]
     low, high = (F.when(~b, parse_time(s)) for b, s in zip(blank, (start, end), strict=True))
     error = F.when(~blank[0] & low.isNull(), "start is no time").when(~blank[1] & high.isNull(), "end is no time").when(low >= high, "end must be after start").when(low >= whole, "start is beyond the end of the clip")
     return F.struct(F.when(error.isNull(), F.coalesce(low, F.lit(0.0))).alias("start"), F.when(error.isNull(), F.least(F.coalesce(high, whole), whole)).alias("end"), error.alias("error"))

@@ -21,9 +21,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def stripped(s: Column) -> Column:
+    """Without the white space at either end, of whatever kind."""
+    return F.regexp_replace(s, rf"\A{BLANK}|{BLANK}\z", "")
+
+
 def parse_time(s: Column) -> Column:
     """Seconds of `S`, `M:S` or `H:M:S`; only the last part may have a fraction, later parts are below 60; else null."""
-    parts = F.split(F.trim(s), ":", -1)
+    parts = F.split(stripped(s), ":", -1)
     n = F.size(parts)
     ok = F.forall(parts, lambda p: p.rlike(NUMBER)) & (n <= 3)
     numbers = F.when(ok, F.transform(parts, lambda p: p.try_cast("double")))
@@ -33,14 +38,14 @@ def parse_time(s: Column) -> Column:
 
 def parse_timestamp(s: Column) -> Column:
     """Seconds of `H:M:S,mmm` or `M:S.mmm`; minutes and seconds are below 60, hours are not limited; else null."""
-    part = [F.regexp_extract(F.trim(s), r"^(?:(\d+):)?(\d+):(\d+)[,.](\d{3})$", i).try_cast("long") for i in range(1, 5)]
+    part = [F.regexp_extract(stripped(s), r"^(?:(\d+):)?(\d+):(\d+)[,.](\d{3})$", i).try_cast("long") for i in range(1, 5)]
     h, m, sec, ms = part
     return F.when((m < 60) & (sec < 60), F.coalesce(h, F.lit(0)) * 3600 + m * 60 + sec + ms / 1000.0)
 
 
 def clean_markup(line: Column) -> Column:
     """A line without `<...>` and `{...}` (one that isn't closed runs to the end), its white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, MARKUP, ""), BLANK, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(line, MARKUP, ""), BLANK, " "))  # only blanks are left
 
 
 def wrapped(text: Column, width: int, most: int) -> Column:
@@ -69,7 +74,7 @@ def _push(lines: Column, line: Column, most: int) -> Column:
 
 def ascii_title(s: Column) -> Column:
     """Trimmed; every character outside printable ASCII becomes `?`."""
-    return F.regexp_replace(F.trim(s), "[^ -~]", "?")
+    return F.regexp_replace(stripped(s), "[^ -~]", "?")
 
 
 def header_title(s: Column) -> Column:

@@ -176,6 +176,7 @@ def time_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, F.concat(v.cast("string"), F.lit(".5:00")))
         .otherwise(F.concat(F.lit("1:02:"), v.cast("string"), F.lit(":4")))
     )
+    s = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("\t"), s, F.lit("\n\u00a0"))).otherwise(s)
     return _events(spark, sf_dir, "value").select("event_id", s.alias("s"), text.parse_time(s).alias("seconds"))
 
 
@@ -206,7 +207,7 @@ def wrapped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fitted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _t(spark, sf_dir, "conversations").select("conv_id", "turn", fitting.fitted(F.split("text", "\n")).alias("f"))
-    return got.select("conv_id", "turn", "f.size", "f.lines")
+    return got.select("conv_id", "turn", "f.size", F.array_join("f.lines", "\n").alias("lines"))
 
 
 def subtitle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,9 +288,17 @@ def _kmeans_sql(k: int, rounds: int) -> str:
     return ",\n".join(parts)
 
 
+#: White space as RE2 writes it.
+_WHITE = "[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
 def _clean_sql(line: str) -> str:
     pattern = text.MARKUP.replace("*+", "*")
-    return f"trim(regexp_replace(regexp_replace({line}, '{pattern}', '', 'g'), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({line}, '{pattern}', '', 'g'), '{_WHITE}', ' ', 'g'))"
+
+
+def _stripped_sql(s: str) -> str:
+    return f"regexp_replace({s}, '^{_WHITE}|{_WHITE}$', '', 'g')"
 
 
 _T = "coalesce(text, '')"
@@ -346,16 +355,16 @@ ORACLE_SQL = {
         SELECT o_orderkey, step, samples, CAST(ceil(o_orderkey * step / CAST(224 << 16 AS DOUBLE)) AS BIGINT) AS tick, samples - samples % 2048 AS audio_block FROM b""",
     "time_strings": f"""WITH a AS (SELECT event_id, {_V} AS v, event_id % 6 AS k FROM events),
         b AS (SELECT *, CASE k WHEN 0 THEN CAST(v / 10.0 AS VARCHAR) WHEN 1 THEN v || ':' || v % 75 WHEN 2 THEN v % 9 || ':' || v % 61 || ':' || v % 60 || '.5' WHEN 3 THEN '-' || v WHEN 4 THEN v || '.5:00' ELSE '1:02:' || v || ':4' END AS s FROM a)
-        SELECT event_id, s, CASE k WHEN 0 THEN v / 10.0 WHEN 1 THEN CASE WHEN v % 75 < 60 THEN v * 60.0 + v % 75 END WHEN 2 THEN CASE WHEN v % 61 < 60 THEN v % 9 * 3600.0 + v % 61 * 60 + v % 60 + 0.5 END WHEN 3 THEN CASE WHEN v = 0 THEN 0.0 END END AS seconds FROM b""",
+        SELECT event_id, CASE WHEN event_id % 5 = 0 THEN chr(9) || s || chr(10) || chr(160) ELSE s END AS s, CASE k WHEN 0 THEN v / 10.0 WHEN 1 THEN CASE WHEN v % 75 < 60 THEN v * 60.0 + v % 75 END WHEN 2 THEN CASE WHEN v % 61 < 60 THEN v % 9 * 3600.0 + v % 61 * 60 + v % 60 + 0.5 END WHEN 3 THEN CASE WHEN v = 0 THEN 0.0 END END AS seconds FROM b""",
     "timestamps": f"""WITH a AS (SELECT event_id, {_V} AS v FROM events) SELECT event_id, format('{{:d}}:{{:02d}}:{{:02d}},{{:03d}}', v // 3600, v % 70, v % 60, v % 1000) AS s,
         CASE WHEN v % 70 < 60 THEN v // 3600 * 3600 + v % 70 * 60 + v % 60 + v % 1000 / 1000.0 END AS seconds FROM a""",
     "clocks": f"""WITH a AS (SELECT event_id, {_V} / 8.0 AS s FROM events), b AS (SELECT *, CAST(round(s) AS BIGINT) AS n, CAST(floor(s) AS BIGINT) AS f, CAST(round(s * 10) AS BIGINT) AS t FROM a)
         SELECT event_id, lpad(CAST(least(n // 60, 99) AS VARCHAR), 2, '0') || ':' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') AS rounded, lpad(CAST(least(f // 60, 99) AS VARCHAR), 2, '0') || ':' || lpad(CAST(f % 60 AS VARCHAR), 2, '0') AS passed,
         t // 600 || ':' || lpad(CAST(t % 600 // 10 AS VARCHAR), 2, '0') || '.' || t % 10 AS tenths FROM b""",
     "markup_removed": f"SELECT page_id, array_to_string(list_transform(string_split(html, chr(10)), lambda l: {_clean_sql('l')}), chr(10)) AS clean FROM pages",
-    "titles": f"""SELECT doc_id, regexp_replace(trim({_T}), '[^ -~]', '?', 'g') AS title, upper(substring(regexp_replace({_T}, '[^A-Za-z0-9 ]', '', 'g'), 1, 12)) AS header,
+    "titles": f"""SELECT doc_id, regexp_replace({_stripped_sql(_T)}, '[^ -~]', '?', 'g') AS title, upper(substring(regexp_replace({_T}, '[^A-Za-z0-9 ]', '', 'g'), 1, 12)) AS header,
         coalesce(nullif({_NAME.format(t=_T, p="")}, ''), 'video') AS file_name, coalesce(nullif({_NAME.format(t=_T, p="+")}, ''), 'video') AS short_name, regexp_replace({_T}, '(.)\\.[^.]*$', '\\1') AS stem FROM documents""",
-    "wrapped_titles": f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim({_T}), '[^ -~]', '?', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
+    "wrapped_titles": f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split(regexp_replace({_stripped_sql(_T)}, '[^ -~]', '?', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
         parts AS MATERIALIZED (SELECT doc_id, flatten(list_transform(w, lambda w: list_transform(range(0, (length(w) - 1) // 28 + 1), lambda i: {{'p': substring(w, i * 28 + 1, 28), 'part': length(w) > 28, 'over': i * 28 + 28 < length(w)}}))) AS a FROM words),
         fold AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS lines, '' AS cur FROM parts
         UNION ALL SELECT doc_id, k + 1, CASE WHEN x.over THEN list_append(done, x.p) ELSE done END, CASE WHEN x.over THEN '' WHEN joins THEN cur || ' ' || x.p ELSE x.p END
@@ -363,6 +372,17 @@ ORACLE_SQL = {
             FROM (SELECT doc_id, k, lines, cur, a[k + 1] AS x, cur <> '' AND NOT a[k + 1].part AND length(cur) + 1 + length(a[k + 1].p) <= 28 AS joins FROM fold JOIN parts USING (doc_id) WHERE k < len(a) AND len(lines) <= 8) s) t),
         whole AS (SELECT doc_id, arg_max(CASE WHEN cur = '' THEN lines ELSE list_append(lines, cur) END, k) AS l FROM fold GROUP BY doc_id)
         SELECT doc_id, array_to_string(CASE WHEN len(l) > 8 THEN list_append(l[1:7], substring(l[8], 1, 25) || '...') ELSE l END, chr(10)) AS lines FROM whole""",
+    "fitted_lines": f"""WITH RECURSIVE src AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda l: list_filter(regexp_split_to_array(l, '{_WHITE}'), lambda w: w <> '')), lambda l: len(l) > 0) AS ls FROM conversations),
+        words AS MATERIALIZED (SELECT conv_id, turn, flatten(list_transform(coalesce(ls, []), lambda l: list_transform(range(1, len(l) + 1), lambda i: {{'w': l[i], 'f': i = 1}}))) AS a FROM src),
+        sizes(size, room) AS (VALUES {", ".join(f"({s}, {fitting.capacity(s, 0.5)})" for s in fitting.SIZES)}),
+        fold AS (SELECT conv_id, turn, size, room, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS row, CAST(0 AS BIGINT) AS used, '' AS one, '' AS two FROM words, sizes
+        UNION ALL SELECT conv_id, turn, size, room, k + 1, row + extra, n_used, CASE WHEN joins AND row = 0 THEN one || ' ' || x.w WHEN NOT joins AND row < 0 THEN substring(x.w, 1, room) ELSE one END,
+            CASE WHEN joins AND row = 1 THEN two || ' ' || x.w WHEN NOT joins AND row < 1 AND row + extra >= 1 THEN substring(x.w, CAST((0 - row) * room + 1 AS BIGINT), room) ELSE two END
+        FROM (SELECT *, CASE WHEN joins THEN 0 ELSE 1 + (length(x.w) - 1) // room END AS extra, CASE WHEN joins THEN used + 1 + length(x.w) ELSE length(x.w) - (length(x.w) - 1) // room * room END AS n_used
+            FROM (SELECT f.*, a[k + 1] AS x, NOT a[k + 1].f AND used + 1 + length(a[k + 1].w) <= room AS joins FROM fold f JOIN words USING (conv_id, turn) WHERE k < len(a)) s) t),
+        done AS (SELECT conv_id, turn, size, any_value(room) AS room, arg_max(row, k) + 1 AS n, arg_max(one, k) AS one, arg_max(two, k) AS two FROM fold GROUP BY conv_id, turn, size),
+        best AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN n <= {fitting.MOST} THEN -size ELSE size END) = 1)
+        SELECT conv_id, turn, CAST(size AS INT) AS size, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN one WHEN n = 2 THEN one || chr(10) || two ELSE one || chr(10) || rtrim(substring(two, 1, room - 1)) || '…' END AS lines FROM best""",
     "subtitle_round_trip": f"""WITH a AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\s*\\n\\s*', chr(10), 'g'), chr(10)), lambda l: {_clean_sql('l')}), lambda l: l <> '') AS lines FROM conversations)
         SELECT conv_id, turn * 2.5::DOUBLE AS start, turn * 2.5::DOUBLE + 2 AS "end", array_to_string(lines, chr(10)) AS body FROM a WHERE len(lines) > 0""",
     "probe_json": """WITH a AS (SELECT p_partkey AS p, CAST(round((p_partkey % 1000 + 16) * (p_partkey % 5 + 1)::DOUBLE / 3) AS BIGINT) AS w FROM part)
