@@ -112,5 +112,5 @@ def clock_tenths(seconds: Column) -> Column:
 
 
 def mib(size: Column) -> Column:
-    """A size in MiB with one decimal."""
-    return F.format_string("%.1f MiB", size / 1048576.0)
+    """A size in MiB with one decimal; halves go to the even digit."""
+    return F.format_string("%.1f MiB", F.rint(size / 1048576.0 * 10) / 10)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import fitting, media, text
 from tideline.operators import asof, cluster, intervals, ladder, ordered, segments, signal
 from tideline.operators.ordered import Stream
-from tideline.plans import frame_queries
+from tideline.plans import codec_queries, frame_queries
 from tideline.sources import subtitles
 
 USERS = Stream(["user_id"], ["ts", "event_id"], "to_date(ts)")
@@ -253,7 +253,7 @@ _ALL = [
     segment_bounds, gap_fill, key_hold, kmeans_clusters, codebook, colours, layouts, sample_clock, time_strings, timestamps, clocks, markup_removed, titles, wrapped_titles, fitted_lines,
     subtitle_round_trip, probe_json, header_bytes, resampled_values, adpcm_round_trip,
 ]
-QUERIES = {f.__name__: f for f in _ALL} | frame_queries.QUERIES
+QUERIES = {f.__name__: f for f in _ALL} | frame_queries.QUERIES | codec_queries.QUERIES
 
 _SEGMENTS = f"""
     lagged AS (SELECT *, row_number() OVER w - 1 AS r, coalesce(abs(value - lag(value) OVER w) > {JUMP}, true) AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -389,4 +389,4 @@ ORACLE_SQL = {
         SELECT p AS p_partkey, CASE WHEN p % 2 = 1 THEN 480 ELSE w END AS width, CASE WHEN p % 2 = 1 THEN w ELSE 480 END AS height, p + 0.25::DOUBLE AS duration, true AS has_audio, 2 AS n_subtitles, CASE WHEN p % 2 = 0 THEN 0 ELSE 1 END AS text_stream FROM a""",
     "header_bytes": """WITH a AS (SELECT p_partkey, list_transform(range(1, 33), lambda i: ord(substring(rpad(p_name, 32, '~'), i, 1))) AS d FROM part)
         SELECT p_partkey, CAST(((-list_sum(d[1:30]) - 25) % 256 + 256) % 256 AS BIGINT) AS check_byte, CAST(d[3] + d[4] * 256 + d[5] * 65536 + d[6] * 16777216::BIGINT AS BIGINT) AS word, CAST(d[9] + d[10] * 256 AS BIGINT) AS half FROM a""",
-} | frame_queries.ORACLE_SQL
+} | frame_queries.ORACLE_SQL | codec_queries.ORACLE_SQL
