@@ -49,6 +49,35 @@ def test_pushed_resampling_is_the_beginning_of_the_batch_form(spark, tmp_path):
     assert got == whole[: len(got)] and len(whole) - len(got) <= 12
 
 
+def test_ended_streams_give_their_tails(spark, tmp_path):
+    x = 0.5 * np.sin(2 * np.pi * 440 * np.arange(900) / 48000)
+    rows = [(k, i, float(v), False) for k in (1, 2) for i, v in enumerate(x)] + [(1, 900, None, True)]
+    rows.sort(key=lambda r: (r[1], r[0]))
+
+    def ended(stream):
+        return running.resampled(stream, "k", "at", "v", 48000.0, 13379.0, ends="last")
+
+    got = pushed(spark, tmp_path, rows, "k long, at long, v double, last boolean", ended)
+    blocks = spark.createDataFrame([(1, 0, 0, x.tolist())], "k long, block long, start long, x array<double>")
+    whole = signal.resampled(blocks, "k", "block", "start", "x", 48000.0, 13379.0).first()["out"]
+    of = {k: [r["sample"] for r in sorted((r for r in got if r["key"] == k), key=lambda r: r["place"])] for k in (1, 2)}
+    assert of[1] == whole and of[2] == whole[: len(of[2])] and len(of[2]) < len(whole)
+
+
+def test_idle_streams_end_with_the_watermark(spark, tmp_path):
+    x = [0.25] * 400
+    rows = [(1, i, v, 1000 + i) for i, v in enumerate(x)] + [(2, 0, 0.5, 900_000), (2, 1, 0.5, 990_000), (2, 2, 0.5, 2_000_000)]
+
+    def idle(stream):
+        timed = stream.selectExpr("k", "at", "v", "timestamp_millis(ms) AS t").withWatermark("t", "1 second")
+        return running.resampled(timed, "k", "at", "v", 48000.0, 13379.0, time="t", idle=5_000)
+
+    got = pushed(spark, tmp_path, rows, "k long, at long, v double, ms long", idle, parts=4)
+    blocks = spark.createDataFrame([(1, 0, 0, x)], "k long, block long, start long, x array<double>")
+    whole = signal.resampled(blocks, "k", "block", "start", "x", 48000.0, 13379.0).first()["out"]
+    assert [r["sample"] for r in sorted((r for r in got if r["key"] == 1), key=lambda r: r["place"])] == whole
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i % 2, i, float(rng.choice([0, 10, 40, 300]))) for i in range(120)]

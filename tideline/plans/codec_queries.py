@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tideline.operators import cluster, codec, frames, ladder, packed
 from tideline.plans import frame_queries
 from tideline.plans.frame_queries import _PX, CLIPS, SIDE
+from tideline.sources import cartridge
+from tideline.sources.stored import shared_path, stored
 
 #: Frames of a group at most, mean change that is a scene cut, palette entries, codebook entries, squared distance that sends a block again.
 LONGEST, CHANGE, COLOURS, CODEBOOK, SKIP = 6, 57, 8, 5, 90_000.0
@@ -192,3 +194,22 @@ ORACLE_SQL = {
         SELECT v.clip, v.frame, string_agg(printf('%02X%02X%02X', CAST(coalesce(r, 0) AS INT), CAST(coalesce(g, 0) AS INT), CAST(coalesce(b, 0) AS INT)), '' ORDER BY j, i) AS rgb
         FROM (SELECT clip, frame, i, j, CASE WHEN -300 + {ZOOM} * i < 0 THEN -1 ELSE (-300 + {ZOOM} * i) // 256 END AS x, (200 + {ZOOM} * j) // 256 AS y FROM view) v LEFT JOIN px p ON p.clip = v.clip AND p.frame = v.frame AND p.x = v.x AND p.y = v.y GROUP BY v.clip, v.frame""",
 }
+
+
+def cartridge_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as cartridges of two clips, written as files, and read back from their offset tables."""
+    spark.dataSource.register(cartridge.Cartridges)
+    records = _records(spark, sf_dir).select((F.floor(F.col("clip") / 2)).alias("cart"), (F.col("clip") % 2).cast("int").alias("video"), F.lit("frame").alias("kind"), F.col("frame").alias("no"), F.col("record").alias("data"))
+    records = stored(records, "cartridge-records")
+    videos = records.select("cart", "video").distinct().select("cart", "video", F.lit("video").alias("kind"), F.lit(0).cast("long").alias("no"), F.lit(None).cast("binary").alias("data"))
+    numbers = [F.lit(n).cast("int").alias(c) for c, n in (("fps", SOURCE_FPS), ("w", SIDE), ("h", SIDE), ("x_off", 0), ("y_off", 0))]
+    parts = videos.union(records).select("*", *numbers, F.lit(False).alias("half_res"), F.lit(0).cast("long").alias("samples"), F.concat(F.lit("cart "), F.col("cart").cast("string")).alias("title"))
+    images = cartridge.assembled(parts, "cart", "title")
+    folder = shared_path(spark, "cartridges").removeprefix("file://")
+    images.select(F.concat(F.lit("cart-"), F.col("cart").cast("string"), F.lit(".bin")).alias("name"), "image").write.format("cartridges").mode("append").save(folder)
+    back = spark.read.format("cartridges").option("section", "frames").load(folder)
+    return back.select(F.regexp_extract("path", r"cart-(\d+)\.bin$", 1).cast("long").alias("cart"), "video", "frame", F.hex("record").alias("record"))
+
+
+QUERIES["cartridge_round_trip"] = cartridge_round_trip
+ORACLE_SQL["cartridge_round_trip"] = f"WITH RECURSIVE {_RECORDS} SELECT clip // 2 AS cart, CAST(clip % 2 AS INT) AS video, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS frame, rpad(h, CAST((length(h) + 7) // 8 * 8 AS INT), '0') AS record FROM whole"

@@ -31,30 +31,48 @@ def within_budget(stream: DataFrame, key: str, order: str, cost: str, limit: int
     return rows.groupBy("key").applyInPandasWithState(work, "key long, ord long, running_cost long, fits boolean", "used long, over boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def resampled(stream: DataFrame, key: str, order: str, value: str, in_rate: float, out_rate: float) -> DataFrame:
+def resampled(stream: DataFrame, key: str, order: str, value: str, in_rate: float, out_rate: float, ends: str | None = None, time: str | None = None, idle: int = 60_000) -> DataFrame:
     """(key, place, sample smallint): the stream of each key at another rate; a sample appears once all that it needs have arrived.
 
-    The end of a stream isn't known, so its last samples, which the batch form pads with silence, wait for more."""
+    A stream's last samples, which the batch form pads with silence, come when it is known to have ended: `ends` is an SQL
+    condition that holds in its last row (whose value, if not null, still counts), and `time` a column with a watermark: a
+    key is over once the watermark has passed its latest row by `idle` milliseconds. Then its state goes; later rows of the
+    key begin a new stream at place 0. Without either, the tail waits for more."""
     taps, step = low_pass(in_rate, out_rate)[::-1].copy(), in_rate / out_rate
 
-    def work(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(frames)).sort_values("ord")
-        # held: the latest samples; first: the number of the first of them; place: the next sample to give
-        first, place, held = state.get if state.exists else (-BEFORE, 0, [0.0] * BEFORE)
-        x = np.concatenate([np.array(held, float), df["value"].to_numpy(float)])
+    def given(x: np.ndarray, first: int, place: int, whole: int | None) -> tuple[np.ndarray, int, int]:
+        """The samples that x (from number `first` on) is enough for, where `whole` is the length of a stream that has ended."""
         ready = max(place, int(np.floor((first + len(x) - AFTER - 1) / step)) + 1)
         at = np.arange(place, ready) * step
         left = np.floor(at).astype(np.int64)
         filtered = np.convolve(x, taps, "valid") if len(x) >= TAPS else np.zeros(0)
         base = left - BEFORE - first
-        fine = base + 1 < len(filtered)
+        fine = (base + 1 < len(filtered)) & (left < (whole if whole is not None else left + 1))
         at, left, base = at[fine], left[fine], base[fine]
         out = filtered[base] * (1 - (at - left)) + filtered[base + 1] * (at - left)
         done = place + len(out)
-        keep = max(0, int(np.floor(done * step)) - BEFORE - first)
-        state.update((first + keep, done, x[keep:].tolist()))
-        samples = np.clip(np.floor(out * 32767 + 0.5), -32768, 32767).astype(np.int16)
+        return np.clip(np.floor(out * 32767 + 0.5), -32768, 32767).astype(np.int16), done, max(0, int(np.floor(done * step)) - BEFORE - first)
+
+    def work(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # held: the latest samples; first: the number of the first of them; place: the next sample to give
+        first, place, held = state.get if state.exists else (-BEFORE, 0, [0.0] * BEFORE)
+        over, latest = state.hasTimedOut, 0
+        x = np.array(held, float)
+        if not over:
+            df = pd.concat(list(frames)).sort_values("ord")
+            over, latest = bool(df["ends"].any()), int(df["at"].max())
+            x = np.concatenate([x, df["value"].dropna().to_numpy(float)])
+        whole = first + len(x) if over else None
+        samples, done, keep = given(np.concatenate([x, np.zeros(TAPS + 1)]) if over else x, first, place, whole)
+        if over:
+            state.remove()
+        else:
+            state.update((first + keep, done, x[keep:].tolist()))
+            if time:
+                state.setTimeoutTimestamp(max(latest + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": k[0], "place": np.arange(place, done), "sample": samples})
 
-    rows = stream.selectExpr(f"{key} AS key", f"{order} AS ord", f"cast({value} AS double) AS value")
-    return rows.groupBy("key").applyInPandasWithState(work, "key long, place long, sample smallint", "first long, place long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    at = f"cast(unix_millis(cast({time} AS timestamp)) AS long)" if time else "0L"
+    rows = stream.selectExpr(f"{key} AS key", f"{order} AS ord", f"cast({value} AS double) AS value", f"coalesce({ends or 'false'}, false) AS ends", f"{at} AS at", *([time] if time else []))
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return rows.groupBy("key").applyInPandasWithState(work, "key long, place long, sample smallint", "first long, place long, held array<double>", "append", timeout)
