@@ -107,9 +107,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     share = min(1.0, sample_docs / max(1, docs.count()))
     text = F.coalesce(F.col("text"), F.lit(""))
     sample = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(text.alias("text"))
+    sample = sample.select("text", F.regexp_extract_all("text", F.lit(PLAIN_WORD), F.lit(0)).alias("words"))  # read more than once
     random = F.concat(F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= RUN_MIN // 2), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
-    words = F.regexp_extract_all("text", F.lit(PLAIN_WORD), F.lit(0))
-    ordinary = F.concat(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)), _slugs(words))
+    ordinary = F.concat(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)), _slugs(F.col("words")))
     runs = sample.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), random.alias("runs")), F.struct(F.lit(0).alias("random"), ordinary.alias("runs")))).alias("x"))
     made = docs.sparkSession.range(MADE).select(F.struct(F.lit(0).alias("random"), _made(F.col("id")).alias("runs")).alias("x"))
     runs = runs.union(made)
@@ -162,7 +162,7 @@ def _blanked(text: Column, pattern: str, value_group: int = 0, least: int = 1) -
 
 def find(docs: DataFrame, table: list[float], threshold: float = LEAST_RATIO) -> DataFrame:
     """docs with two more columns: BASE (spans of the rules) and ALL (all spans), each sorted by start, then kind."""
-    ratios = F.array(*map(F.lit, table))
+    ratios = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # one literal, folded before the run
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumn(BASE, base_spans(text))
     rest = F.when(F.size(BASE) > 0, _blanked(_blanked(_blanked(text, ASSIGN, 2, VALUE_MIN), ACCESS), HEX)).otherwise(text)
