@@ -37,6 +37,18 @@ def steps(spark: SparkSession, fps: int | None = None, half_res: bool = False) -
     return ladder.groupBy("half_res", "fps", "codebook", "skip").agg(F.min("step_no").alias("step_no"))
 
 
+def candidates(fps: Column, half_only: Column) -> Column:
+    """An array of struct(half_res, fps, codebook, skip, step_no): the steps to try for a row, in order.
+
+    fps: a rate that all steps take, or null; steps that become equal by it are tried once. half_only: only half resolution."""
+    fields = ["half_res", "fps", "codebook", "skip"]
+    ladder = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip([*fields, "step_no"], [*step, i], strict=True)]) for i, step in enumerate(STEPS)])
+    wanted = F.filter(ladder, lambda s: s["half_res"] | ~F.coalesce(half_only, F.lit(False)))
+    pinned = F.transform(wanted, lambda s: s.withField("fps", F.coalesce(fps.cast("int"), s["fps"])))
+    alike = F.transform(pinned, lambda s: F.struct(*[s[n] for n in fields]))
+    return F.filter(pinned, lambda s, i: F.array_position(alike, F.struct(*[s[n].alias(n) for n in fields])) == i + 1)
+
+
 def first_fit(costs: DataFrame, keys: list[str], step: str, cost: Column, seconds: Column, limit: Column | int) -> DataFrame:
     """For each key the first step whose total cost is within the limit, or how many seconds the best step held.
 

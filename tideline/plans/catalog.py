@@ -79,8 +79,10 @@ def gop_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ladder_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pinned = ladder.steps(spark, fps=15).withColumn("kind", F.lit("pinned"))
-    return pinned.unionByName(ladder.steps(spark, half_res=True).withColumn("kind", F.lit("half")))
+    """The steps to try for every part, by the rate that its size stands for (none for every fifth) and its resolution."""
+    fps = F.when(F.col("p_partkey") % 5 != 0, F.col("p_size"))
+    steps = ladder.candidates(fps, F.col("p_partkey") % 3 == 0)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(steps).alias("s")).select("p_partkey", "s.*")
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +324,8 @@ ORACLE_SQL = {
         held AS (SELECT *, sum(cost) OVER (PARTITION BY user_id, step_no ORDER BY segment) AS used FROM costs),
         tot AS (SELECT user_id, step_no, sum(cost) <= 3000 AS fits, coalesce(sum(frames) FILTER (used <= 3000), 0) AS secs FROM held GROUP BY 1, 2)
         SELECT user_id, min(step_no) FILTER (fits) AS step_no, CAST(CASE WHEN min(step_no) FILTER (fits) IS NULL THEN max(secs) END AS BIGINT) AS best_secs FROM tot GROUP BY user_id""",
-    "ladder_candidates": f"WITH {_LADDER} SELECT half_res, 15 AS fps, codebook, skip, min(step_no) AS step_no, 'pinned' AS kind FROM ladder GROUP BY half_res, codebook, skip UNION ALL SELECT half_res, fps, codebook, skip, step_no, 'half' FROM ladder WHERE half_res",
+    "ladder_candidates": f"""WITH {_LADDER}, each AS (SELECT p_partkey, half_res, CAST(CASE WHEN p_partkey % 5 <> 0 THEN p_size ELSE fps END AS INT) AS fps, codebook, skip, step_no FROM part, ladder WHERE half_res OR p_partkey % 3 <> 0)
+        SELECT p_partkey, half_res, fps, codebook, skip, min(step_no) AS step_no FROM each GROUP BY p_partkey, half_res, fps, codebook, skip""",
     "asof_backward": """WITH r AS (SELECT * FROM events WHERE event_type = 'view'), f AS (SELECT user_id, arg_min(value, (ts, event_id)) AS first FROM r GROUP BY 1)
         SELECT l.event_id, coalesce(r.value, f.first) AS value FROM events l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts LEFT JOIN f ON l.user_id = f.user_id WHERE l.event_type = 'purchase'""",
     "asof_forward": "SELECT l.event_id, r.value FROM events l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.ts <= r.ts WHERE l.event_type = 'purchase'",

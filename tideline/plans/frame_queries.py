@@ -65,7 +65,10 @@ def palette_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def palette_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.nearest_colours(spark, PALETTE).select("c555", F.col("slot").cast("int").alias("slot"))
+    """The palette slot of every event's colour; the table of all 15-bit colours has 32768 rows at any size."""
+    r, g, b = ((F.col("event_id") * k % 256).cast("int") for k in (7, 13, 29))
+    slots = frames.nearest_colours(spark, PALETTE)
+    return _t(spark, sf_dir, "events").select("event_id", media.to_555(r, g, b).alias("c555")).join(F.broadcast(slots), "c555").select("event_id", "c555", F.col("slot").cast("int").alias("slot"))
 
 
 def menu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +139,9 @@ ORACLE_SQL = {
     "palette_sample": f"""WITH {_PX}, numbered AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY frame, y, x) - 1 AS k, count(*) OVER (PARTITION BY clip) AS n FROM px)
         SELECT clip, frame, x, CAST(y AS BIGINT) AS y, r, g, b FROM numbered WHERE k % greatest(n // 500, 1) = 0""",
     "palette_slots": f"""WITH slots(slot, a, b, c, r, g, bl) AS (VALUES {_SLOTS}), colours AS (SELECT CAST(i AS INT) AS c555, i & 31 AS x, (i >> 5) & 31 AS y, (i >> 10) & 31 AS z FROM range(32768) t(i)),
-        wide AS (SELECT c555, (x << 3) | (x >> 2) AS x, (y << 3) | (y >> 2) AS y, (z << 3) | (z >> 2) AS z FROM colours)
-        SELECT c555, CAST(arg_min(slot, ((x - r) * (x - r) + (y - g) * (y - g) + (z - bl) * (z - bl), slot)) AS INT) AS slot FROM wide, slots GROUP BY c555""",
+        wide AS (SELECT c555, (x << 3) | (x >> 2) AS x, (y << 3) | (y >> 2) AS y, (z << 3) | (z >> 2) AS z FROM colours),
+        best AS (SELECT c555, CAST(arg_min(slot, ((x - r) * (x - r) + (y - g) * (y - g) + (z - bl) * (z - bl), slot)) AS INT) AS slot FROM wide, slots GROUP BY c555)
+        SELECT event_id, c555, slot FROM best JOIN (SELECT event_id, CAST((event_id * 7 % 256 >> 3) | ((event_id * 13 % 256 >> 3) << 5) | ((event_id * 29 % 256 >> 3) << 10) AS INT) AS c555 FROM events) USING (c555)""",
     "menu_pages": f"WITH a AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part) SELECT p_partkey, p_brand, k // {PER_PAGE} AS page, k % {PER_PAGE} AS place FROM a",
     "record_round_trip": """SELECT p_brand, p_size, CAST(4 + sum(4 + octet_length(encode(p_name))) OVER (PARTITION BY p_brand, p_size) AS BIGINT) AS n_bytes,
         row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) - 1 AS at, p_name AS name FROM part""",
