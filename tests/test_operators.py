@@ -257,3 +257,61 @@ def test_adpcm_round_trip(spark):
     assert 10 * np.log10((x**2).mean() / noise) > 20
     silent = signal.adpcm_encoded(blocks_of(spark, np.zeros(3000, int), 2048, int), "k", "block", "x")
     assert not np.concatenate([r["samples"] for r in signal.adpcm_decoded(silent, "k", "block").collect()]).any()
+
+
+def coded_in_turn(x, size):
+    """Codes of blocks of `size` samples, one after the other."""
+    value = index = 0
+    out = []
+    for i in range(0, len(x), size):
+        before = (value, index)
+        data, value, index = signal.encode_block(x[i : i + size], value, index)
+        out.append((i // size, *before, data))
+    return out
+
+
+def clips():
+    rng = np.random.default_rng(5)
+    n = np.arange(6000)
+    yield "sine", np.round(sine(6000, 13379, 440, 30_000)).astype(int)
+    yield "noise", rng.integers(-32768, 32768, 5001)
+    yield "extremes", np.where(n % 2, 32767, -32768)[:4096]
+    yield "silence", np.zeros(3000, int)
+    yield "burst", np.where((n > 2500) & (n < 2600), rng.integers(-30000, 30000, 6000), 3)
+    yield "short", np.array([5, -7, 1200])
+
+
+def test_many_runs_are_coded_like_one():
+    runs = [[x[:700], x[:0], x[700:901], x[901:1500]] for _, x in clips() for _ in range(4)]
+    value, index = np.arange(len(runs)) * 700 - 8000, np.arange(len(runs)) * 3
+    assert len(runs) >= signal.MANY_RUNS
+    coded, after_value, after_index = signal.encode_runs(runs, value, index)
+    for i, run in enumerate(runs):
+        (one,), v, k = signal.encode_runs([run], value[i : i + 1], index[i : i + 1])
+        assert (coded[i], after_value[i], after_index[i]) == (one, v[0], k[0])
+
+
+@pytest.mark.parametrize("rounds", [0, 8])
+def test_adpcm_in_spans_equals_coding_in_turn(spark, rounds):
+    made = dict(clips())
+    rows = [(name, b, [int(v) for v in x[b * 100 : b * 100 + 100]]) for name, x in made.items() for b in range(-(-len(x) // 100))]
+    df = spark.createDataFrame(rows, "k string, b long, x array<smallint>").repartition(5)
+    got = signal.adpcm_encoded(df, "k", "b", "x", span=4, rounds=rounds)
+    assert got.columns == ["k", "b", "pred", "idx", "data"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["k"], []).append((r["b"], r["pred"], r["idx"], bytes(r["data"])))
+    assert {k: sorted(v) for k, v in found.items()} == {k: coded_in_turn(x, 100) for k, x in made.items()}
+
+
+def test_adpcm_of_odd_and_empty_tables(spark):
+    rows = [(None, 0, [9, None, 300]), (None, 5, None), (None, 9, []), (None, 12, [40]), ("a", None, [7, 7]), ("a", 3, [100, 900, 50])]
+    df = spark.createDataFrame(rows, "k string, b int, x array<smallint>").withColumns({"span": F.lit("x"), "coded": F.lit(1), "tail": F.lit(2), "start": F.lit(3)})
+    got = {(r["k"], r["b"]): bytes(r["data"]) for r in signal.adpcm_encoded(df, "k", "b", "x", span=2).collect()}
+    first, v, i = signal.encode_block(np.array([9, 0, 300]), 0, 0)
+    again, w, j = signal.encode_block(np.array([7, 7]), 0, 0)
+    assert got == {
+        (None, 0): first, (None, 5): b"", (None, 9): b"", (None, 12): signal.encode_block(np.array([40]), v, i)[0],
+        ("a", None): again, ("a", 3): signal.encode_block(np.array([100, 900, 50]), w, j)[0],
+    }
+    assert signal.adpcm_encoded(df.limit(0), "k", "b", "x").count() == 0

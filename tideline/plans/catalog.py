@@ -307,7 +307,25 @@ _T = "coalesce(text, '')"
 _NAME = "regexp_replace(regexp_replace({t}, '[^A-Za-z0-9-]{p}', '_', 'g'), '^_+|_+$', '', 'g')"
 _V = "CAST(floor(value * 100) AS BIGINT)"
 
+_ADPCM = f"""
+    pcm AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(least(floor(coalesce(value, 0) * 60), 32767) AS INTEGER) AS x FROM events),
+    state AS (
+        SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS i, 0 AS pred, 0 AS idx FROM pcm
+        UNION ALL
+        SELECT user_id, i, greatest(-32768, least(32767, pred + CASE WHEN x < pred THEN -1 ELSE 1 END * ((step >> 3) + b4 * step + b2 * (step >> 1) + b1 * (step >> 2)))),
+            greatest(0, least(88, idx + CASE WHEN b4 = 0 THEN -1 ELSE 2 + 4 * b2 + 2 * b1 END))
+        FROM (SELECT *, CAST(rest - b4 * step - b2 * (step >> 1) >= step >> 2 AS INTEGER) AS b1
+            FROM (SELECT *, CAST(rest - b4 * step >= step >> 1 AS INTEGER) AS b2
+                FROM (SELECT *, CAST(rest >= step AS INTEGER) AS b4
+                    FROM (SELECT p.user_id, p.i, p.x, s.pred, s.idx, abs(p.x - s.pred) AS rest, ({signal.STEP_SIZES})[s.idx + 1] AS step
+                        FROM state s JOIN pcm p ON p.user_id IS NOT DISTINCT FROM s.user_id AND p.i = s.i + 1))))),
+    ends AS (SELECT user_id, max(i) AS i FROM state GROUP BY user_id),
+    heard AS (SELECT user_id, i, pred FROM state WHERE i >= 0
+        UNION ALL
+        SELECT s.user_id, s.i + 1, least(32767, s.pred + (({signal.STEP_SIZES})[s.idx + 1] >> 3)) FROM state s JOIN ends e ON e.user_id IS NOT DISTINCT FROM s.user_id AND e.i = s.i WHERE s.i % 2 = 0)"""
+
 ORACLE_SQL = {
+    "adpcm_round_trip": f"WITH RECURSIVE {_ADPCM} SELECT user_id, i // 256 AS block, list(CAST(pred AS SMALLINT) ORDER BY i) AS samples FROM heard GROUP BY user_id, i // 256",
     "change_segments": f"WITH {_SEGMENTS} SELECT event_id, user_id, segment, place FROM segs",
     "dead_band": f"""WITH RECURSIVE {_SEGMENTS}, fold AS (
         SELECT user_id, segment, place, value AS cur, CAST(NULL AS DOUBLE) AS other, true AS sent FROM segs WHERE place = 0
