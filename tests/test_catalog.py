@@ -49,6 +49,14 @@ def test_chains_of_running_values_scan_their_rows_twice_at_most(spark, name):
     assert 1 <= plan.count("Scan parquet") <= 2
 
 
+@pytest.mark.parametrize("name", ["change_segments", "gap_fill", "key_hold", "budget_prefix", "segment_bounds"])
+def test_chains_of_running_values_are_one_step(spark, name):
+    """Before any reuse of stages: a scan for the rows and one for the block totals, and few windows."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    steps = 2 if name == "segment_bounds" else 1  # ranks first
+    assert plan.count("Scan parquet") <= 2 ** steps and plan.count("Window ") <= 12 * steps
+
+
 def test_contract(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and set(catalog.QUERIES) <= set(names)

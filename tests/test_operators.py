@@ -29,6 +29,52 @@ def test_running_values_in_any_blocks(spark, width, reverse):
             assert got[at] == ((sum(before), max(before), min(before), last) if before else (None,) * 4)
 
 
+@pytest.mark.parametrize("width", [1, 4, 1000])
+def test_peaks_and_both_ways_in_one_step(spark, width):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, None]), i, rng.choice([None, *range(-5, 6)]), rng.choice([None, None, *range(-9, 10)])) for i in range(70)]
+    df = spark.createDataFrame(rows, "k long, at long, v long, e long")
+    peak = (F.col("v"), F.col("e"))
+    asked = {f"{own}{back}": ordered.Running("peak", peak, own=own, reverse=back) for own in (True, False) for back in (True, False)}
+    got = {r["at"]: r for r in ordered.running(df, Stream(["k"], ["at"], F.floor(F.col("at") / width)), asked | {"n": ("sum", F.lit(1))}).collect()}
+    for k, at, _, _ in rows:
+        for name, a in asked.items():
+            total, best = 0, None
+            for j, i, v, e in rows[::-1] if a.reverse else rows:
+                if j == k and (((i > at) if a.reverse else (i < at)) or a.own and i == at):
+                    total += v or 0
+                    best = best if e is None else max(total + e, total + e if best is None else best)
+            assert got[at][name] == best
+        assert got[at]["n"] == sum(j == k and i <= at for j, i, _, _ in rows)
+
+
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_segments_of_many_keys_with_nulls(spark, width):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), i, rng.choice([None, 0.0, 0.0, 0.0, 0.0, 0.0, 300.0])) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, at long, v double")
+    stream = Stream(["k"], ["at"], F.floor(F.col("at") / width))
+    fused = segments.segmented_by_change(df, stream, F.col("v"), 100, 4)
+    apart = segments.segmented(segments.changed_by(df, stream, F.col("v"), 100), stream, F.col("cut"), 4)
+    runs = {(r["k"], r["start"]): (r["n"], r["value"]) for r in segments.run_lengths(df, stream, F.col("v"), 3).collect()}
+    want, want_runs = {}, {}
+    for key in (1, 2, None):
+        segment, place, was, begun, runs_at = -1, 0, None, False, 0
+        for rank, (_, at, v) in enumerate(r for r in rows if r[0] == key):
+            cut = begun and v is not None and was is not None and abs(v - was) > 100
+            segment, place = (segment + 1, 0) if not begun or cut or place == 3 else (segment, place + 1)
+            want[at] = (cut, segment, place, place == 0)
+            if begun and was == v and want_runs[key, runs_at][0] < 3:
+                want_runs[key, runs_at] = (want_runs[key, runs_at][0] + 1, v)
+            else:
+                runs_at = rank
+                want_runs[key, rank] = (1, v)
+            begun, was = True, v
+    for got in (fused, apart):
+        assert {r["at"]: (r["cut"], r["segment"], r["place"], r["is_start"]) for r in got.collect()} == want
+    assert runs == want_runs
+
+
 def test_running_on_an_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "k long, at long, v long, place long")
     stream = Stream(["k"], ["at"], F.col("at"))

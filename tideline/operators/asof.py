@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Stream, running
+from .ordered import Running, Stream, running
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, right_id: str, value: Column, block: Column, *, forward: bool = False, fill: bool = False, name: str = "value") -> DataFrame:
@@ -36,6 +36,5 @@ def in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: st
 def segment_bounds(df: DataFrame, stream: Stream, place: str, is_start: Column) -> DataFrame:
     """df with the latest segment start at or before each row (else 0) and the earliest at or after it (else null)."""
     start = F.when(is_start, F.col(place))
-    back = running(df, stream, {"start_before": ("max", start)})
-    both = running(back, stream, {"start_after": ("min", start)}, reverse=True)
+    both = running(df, stream, {"start_before": ("max", start), "start_after": Running("min", start, reverse=True)})
     return both.withColumn("start_before", F.coalesce("start_before", F.lit(0)))

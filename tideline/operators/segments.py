@@ -2,37 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import squared_distance
-from .ordered import Stream, ranked, running
+from .ordered import Stream, by_block, previous
 
 #: Longest run that one run-length operation holds.
 RUN_MOST = 128
 
 
-def segmented(df: DataFrame, stream: Stream, cut: Column, most: Column | int, rank: str | None = None) -> DataFrame:
+def _segmented(df: DataFrame, stream: Stream, most: Column | int, value: Column, cuts: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with _rank, _cut, `segment`, `place` and `is_start`, where a row cuts if cuts(its value, the value before) holds.
+
+    A block knows its cuts but that of its first row, which needs the last value of the block before. So each block
+    says where its first and last cut are and how many segments end between them; what a block begins in (the start of
+    its segments' scene, and that segment's number) follows from the blocks before it. One step does it all. Ranks count from 1 here."""
+    col = F.col
+
+    def parts(length: Column, longest: Column = col("_most")) -> Column:
+        return F.ceil(length / longest)
+
+    def known(cut: Column) -> Column:
+        return F.coalesce(cut, F.lit(False))
+
+    local = [
+        lambda w: {"_now": F.struct(value.alias("v")), "_most": (F.lit(most) if isinstance(most, int) else most).cast("long"), "_n": F.row_number().over(w.ordered).cast("long")},
+        lambda w: {"_cut": (col("_n") > 1) & known(cuts(col("_now.v"), F.lag("_now").over(w.ordered)["v"]))},
+        lambda w: {"_from": F.max(F.when(col("_cut"), col("_n"))).over(w.until), "_past": F.max(F.when(col("_cut"), col("_n"))).over(w.before)},
+        lambda w: {"_ended": F.when(col("_cut"), parts(col("_n") - col("_past")))},
+        lambda w: {"_ends": F.coalesce(F.sum("_ended").over(w.until), F.lit(0))},
+    ]
+    cut_at = F.when(col("_cut"), col("_n"))
+    totals = {
+        "_rows": F.count(F.lit(1)), "_longest": F.max("_most"), "_head": F.min_by("_now", "_n"), "_tail": F.max_by("_now", "_n"),
+        "_first": F.min(cut_at), "_latest": F.max(cut_at), "_between": F.coalesce(F.sum("_ended"), F.lit(0)),
+    }
+    carried = [
+        lambda w: {"_base": F.coalesce(F.sum("_rows").over(w.before), F.lit(0)), "_was": F.lag("_tail").over(w.ordered)},
+        lambda w: {"_cuts": (col("_base") > 0) & known(cuts(col("_head.v"), col("_was.v")))},
+        lambda w: {"_entry": F.when(col("_cuts") | (col("_base") == 0), col("_base") + 1)},
+        lambda w: {"_old": F.last(F.coalesce(col("_base") + col("_latest"), col("_entry")), ignorenulls=True).over(w.before)},
+        lambda w: {"_scene": F.coalesce("_entry", "_old"), "_closed": F.when(col("_entry").isNotNull() & col("_old").isNotNull(), parts(col("_base") + 1 - col("_old"), col("_longest"))).otherwise(0)},
+        lambda w: {"_lead": F.when(col("_first").isNotNull(), parts(col("_base") + col("_first") - col("_scene"), col("_longest"))).otherwise(0)},
+        lambda w: {"_number": F.coalesce(F.sum(col("_closed") + col("_lead") + col("_between")).over(w.before), F.lit(0)) + col("_closed")},
+    ]
+    inside = col("_from").isNotNull()
+    into = F.when(inside, col("_n") - col("_from")).otherwise(col("_base") + col("_n") - col("_scene"))
+    segment = col("_number") + F.when(inside, col("_lead") + col("_ends")).otherwise(0) + F.floor(into / col("_most"))
+    out = {"_rank": col("_base") + col("_n") - 1, "_cut": F.when(col("_n") == 1, col("_cuts")).otherwise(col("_cut")), "segment": segment, "place": into % col("_most"), "is_start": into % col("_most") == 0}
+    return by_block(df, stream, local, totals, carried, out)
+
+
+def segmented(df: DataFrame, stream: Stream, cut: Column, most: Column | int) -> DataFrame:
     """df with `segment` (from 0 in each stream), `place` (from 0 in each segment) and `is_start`.
 
-    A row where `cut` holds starts a segment, and so does one whose segment already has `most` rows. rank: a column
-    that already numbers the rows of each stream from 0 (see changed_by); it goes."""
-    numbered = df.withColumnRenamed(rank, "_rank") if rank else ranked(df, stream, "_rank")
-    numbered = numbered.withColumn("_cut", (F.col("_rank") == 0) | F.coalesce(cut, F.lit(False)))
-    scene = running(numbered, stream, {"_scene_start": ("max", F.when(F.col("_cut"), F.col("_rank")))})
-    place = (F.col("_rank") - F.col("_scene_start")) % most
-    starts = scene.withColumn("place", place).withColumn("is_start", F.col("place") == 0)
-    return running(starts, stream, {"segment": ("sum", F.col("is_start").cast("long"))}).withColumn("segment", F.col("segment") - 1).drop("_rank", "_cut", "_scene_start")
+    A row where `cut` holds starts a segment, and so does one whose segment already has `most` rows (one number for a stream)."""
+    return _segmented(df, stream, most, cut, lambda now, _: now).drop("_rank", "_cut")
+
 
+def segmented_by_change(df: DataFrame, stream: Stream, value: Column, over: float, most: Column | int, name: str = "cut") -> DataFrame:
+    """segmented() by changed_by() in one step, with the column of the latter."""
+    return _segmented(df, stream, most, value, lambda now, was: F.abs(now - was) > over).withColumnRenamed("_cut", name).drop("_rank")
 
-def changed_by(df: DataFrame, stream: Stream, value: Column, over: float, name: str = "cut", rank: str | None = None) -> DataFrame:
-    """df with whether the value differs from the row before by more than `over`; the first row of a stream doesn't.
 
-    rank: a name for the number of each row in its stream, from 0, which comes from the same step."""
-    now = df.withColumn("_now", value)
-    got = running(now, stream, {"_was": ("last", F.struct(F.col("_now").alias("v"))), "_before": ("sum", F.lit(1).cast("long"))}, with_own=False)
-    got = got.withColumn(name, F.coalesce(F.abs(F.col("_now") - F.col("_was.v")) > over, F.lit(False)))
-    return (got.withColumn(rank, F.coalesce("_before", F.lit(0).cast("long"))) if rank else got).drop("_now", "_was", "_before")
+def changed_by(df: DataFrame, stream: Stream, value: Column, over: float, name: str = "cut") -> DataFrame:
+    """df with whether the value differs from the row before by more than `over`; the first row of a stream doesn't."""
+    got = previous(df.withColumn("_now", value), stream, "_was", F.col("_now"))
+    return got.withColumn(name, F.coalesce(F.abs(F.col("_now") - F.col("_was")) > over, F.lit(False))).drop("_now", "_was")
 
 
 def dead_band(df: DataFrame, segment_keys: list[str], place: str, value: str, skip: Column | float, sources: int = 1) -> DataFrame:
@@ -60,12 +99,8 @@ def dead_band(df: DataFrame, segment_keys: list[str], place: str, value: str, sk
 
 def run_lengths(df: DataFrame, stream: Stream, value: Column, most: int = RUN_MOST) -> DataFrame:
     """A row for each run of equal values, cut at `most`: keys, start (row number), n and value."""
-    ahead = {"_was": ("last", F.struct(F.col("_value").alias("v"))), "_rank": ("sum", F.lit(1).cast("long"))}
-    marked = running(df.withColumn("_value", value), stream, ahead, with_own=False).withColumn("_rank", F.coalesce("_rank", F.lit(0).cast("long")))
-    fresh = F.col("_was").isNull() | ~F.col("_was.v").eqNullSafe(F.col("_value"))
-    run = running(marked, stream, {"_start": ("max", F.when(fresh, F.col("_rank")))})
-    part = run.withColumn("_part", F.floor((F.col("_rank") - F.col("_start")) / most))
-    return part.groupBy(*stream.keys, "_start", "_part").agg(F.min("_rank").alias("start"), F.count(F.lit(1)).alias("n"), F.first("_value").alias("value")).drop("_start", "_part")
+    cut = _segmented(df.withColumn("_value", value), stream, most, F.col("_value"), lambda now, was: ~now.eqNullSafe(was))
+    return cut.groupBy(*stream.keys, "segment").agg(F.min("_rank").alias("start"), F.count(F.lit(1)).alias("n"), F.first("_value").alias("value")).drop("segment")
 
 
 def expand_runs(runs: DataFrame, start: str = "start", n: str = "n") -> DataFrame:

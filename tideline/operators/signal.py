@@ -231,8 +231,8 @@ def adpcm_encoded(blocks: DataFrame, key: str, block: str, samples: str, span: i
     The state runs through all of a key's blocks, yet a clip is many tasks: spans of `span` block numbers are coded at
     once, each from a guess that the end of the span before suggests. Spans whose guess wasn't the state in which the
     span before ended are coded again from that state, until every span starts where the one before ended; then the
-    codes are those of coding in turn. Coders with different states mostly fall into step within a span, so few spans
-    are coded twice. What still differs after `rounds` rounds is coded in turn, from the first such span of its key.
+    codes are those of coding in turn. Coders with different states mostly fall into step within a span, so most spans
+    are coded twice and few more often, all at once. What still differs after `rounds` rounds is coded in turn, from the first such span of its key.
 
     A null or empty block has no codes, a null sample is 0; a null block number comes first, null keys are a key, and
     blocks of one number are taken in order of their samples. An empty table gives an empty result."""

@@ -33,8 +33,7 @@ def _second() -> Column:
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts = segments.changed_by(_events(spark, sf_dir, "value"), USERS, F.col("value"), JUMP, rank="rank")
-    return segments.segmented(cuts, USERS, F.col("cut"), LONGEST, rank="rank")
+    return segments.segmented_by_change(_events(spark, sf_dir, "value"), USERS, F.col("value"), JUMP, LONGEST)
 
 
 def change_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
