@@ -329,6 +329,7 @@ def brute_topk(rows, k=20):
 def test_op10_large_components_and_unequal_lengths(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 8)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "ANNULI_AT_ONCE", 3)
     rng = np.random.default_rng(2)
     rows = [(0, [1e8, 1.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1e7, -1e7]), (3, [3.0]), (40, [2.5]), (4, [1e30, 1.0]), (60, [1.0, 2.0, 3.0])]
     rows += [(100 + i, rng.normal(0, 10.0 ** rng.integers(0, 7), 2).tolist()) for i in range(80)]
