@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) ->
     if not sizes:
         return Voters(np.ones(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     limit = F.when(F.col("label") == 1, int(min(1, sample_each / sizes.get(1, 1)) * (1 << 30))).otherwise(int(min(1, sample_each / sizes.get(0, 1)) * (1 << 30)))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("doc_id", "label")
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("doc_id", "label").distinct()  # so that its size is bounded where ids repeat
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # about 2 * sample_each rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_each: int = SAMPLE_EACH) ->
                 yield pa.record_batch([b["doc_id"], b["label"], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "terms"])
 
     # about 2 * SAMPLE_EACH rows of 4 KB; rows that repeat count once, and ids that repeat with other texts are bounded too
-    got = sample.mapInArrow(count, "doc_id long, label int, terms binary").distinct().limit(4 * sample_each).collect()
+    got = sample.mapInArrow(count, "doc_id long, label int, terms binary").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label", "terms").limit(4 * sample_each).collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["terms"]))
     tf = np.frombuffer(b"".join(r["terms"] for r in got), np.float32).reshape(-1, width)
     labels = np.array([r["label"] for r in got], np.float64)
