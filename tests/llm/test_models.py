@@ -58,6 +58,19 @@ def test_op6_counts_and_base_scores(spark, sf, documents):
     assert sum(r["score"] for r in held) > 1.1 * sum(r["base_score"] for r in held)
 
 
+def test_op6_a_hot_word_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 64)
+    monkeypatch.setattr(lm, "FEWEST", 4)
+    texts = [f"hot hot w{i} hot x{i % 5}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    count = Counter(w for i, t in enumerate(texts) if i % 7 != 2 for w in [*t.split(), None])
+    n, v = sum(count.values()), len(count)
+    for r in lm.score(df, queries.BYTE_BPE, lm.F.col("doc_id") % 7 != 2).collect():
+        ws = [*texts[r["doc_id"]].split(), None]
+        assert r["train_tokens"] == n and r["n_known"] == sum(count[w] > 0 for w in ws)
+        assert math.isclose(r["base_score"], sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+
+
 def test_op6_odd_and_empty_tables(spark, odd_dir, empty_dir, odd_texts):
     rows = queries.op6_lm(spark, odd_dir).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((d, len(WORD.findall(t or "")) + 1) for d, t in odd_texts)
@@ -107,39 +120,43 @@ def test_op6_scores_equal_a_word_by_word_sum():
     learn = np.array([True, False, True, True, False, True])
     tokens = [[*d.split(), None] for d in docs]
     count = Counter(w for ws, own in zip(tokens, learn, strict=True) if own for w in ws)
-    pair, context = Counter(), Counter()
+    pair, context, low = Counter(), Counter(), 64 - int(lm.CONTEXT_BITS)
     hashed = [words_of(d) for d in docs]
     spots = [dict(zip(*(a.tolist() for a in lm.continuations(h, np.array([0, len(h)]))), strict=True)) for h in hashed]
     for spot, own in zip(spots, learn, strict=True):
         for key in spot.values():
             pair[key] += own
-            context[key >> 24] += own
+            context[key >> low] += own
     sub = lm.Subwords(queries.BYTE_BPE)
     model = attention.train(np.zeros((0, 2 * attention.BLOCK + 1), int), sub.size, steps=0)
     every = np.unique(np.concatenate(hashed))
     names = {h: w for hs, ws in zip(hashed, tokens, strict=True) for h, w in zip(hs.tolist(), ws, strict=False)}
     totals = np.array([*(count[names[h]] for h in every.tolist()), count[None]])
     keys = sorted({k for spot in spots for k in spot.values()})
-    known = np.array([[pair[k] for k in keys], [context[k >> 24] for k in keys]])
+    known = np.array([[pair[k] for k in keys], [context[k >> low] for k in keys]])
     n = sum(count.values())
-    _, _, _, score = lm.score_slice(docs, learn, totals, known, n, len(count), sub, model)
+    _, _, _, score, apart = lm.score_slice(docs, learn, totals, known, n, len(count), sub, model, left_out=True)
+    assert np.array_equal(lm.score_slice(docs, learn, totals, known, n, len(count), sub, model)[3], score)
+    # the subwords of all texts in one row, as blocks of the attention begin at multiples of their length
+    subs = [[[sub.end] if w is None else lm_ids(sub, w) for w in ws] for ws in tokens]
+    ys = [[i for one in parts for i in one] for parts in subs]
+    x = np.array([i for y in ys for i in [sub.start, *y[:-1]]])
+    logs = np.split(model.log_prob(x, np.concatenate(ys), np.repeat(np.arange(len(ys)), [len(y) for y in ys])).astype(float), np.cumsum([len(y) for y in ys])[:-1])
     for d, (ws, own, spot) in enumerate(zip(tokens, learn, spots, strict=True)):
-        ids, owner = [sub.start], [0]
-        for i, w in enumerate(ws):
-            one = [sub.end] if w is None else lm_ids(sub, w)
-            ids, owner = [*ids, *one], [*owner, *[i] * len(one)]
-        by_model = model.log_prob(np.array(ids[:-1]), np.array(ids[1:]), np.zeros(len(ids) - 1, int))
-        others = n - (len(ws) if own else 0)
-        want = 0.0
-        for i, w in enumerate(ws):
-            p = lm.ATTENTION * math.exp(by_model[[o == i for o in owner[1:]]].sum()) + (1 - lm.ATTENTION) * (count[w] - (ws.count(w) if own else 0)) / others
-            if i in spot:
-                hits = pair[spot[i]] - (sum(k == spot[i] for k in spot.values()) if own else 0)
-                seen = context[spot[i] >> 24] - (sum(k >> 24 == spot[i] >> 24 for k in spot.values()) if own else 0)
-                if seen:
-                    p = (1 - seen / (seen + lm.HALF)) * p + hits / (seen + lm.HALF)
-            want += math.log10(p)
-        assert math.isclose(score[d], want, rel_tol=1e-4, abs_tol=1e-3)
+        owner, by_model = np.repeat(np.arange(len(ws)), [len(one) for one in subs[d]]), logs[d]
+        for got, out in ((score[d], False), (apart[d], own)):
+            others = n - (len(ws) if out else 0)
+            want = 0.0
+            for i, w in enumerate(ws):
+                p = lm.ATTENTION * math.exp(by_model[owner == i].sum()) + (1 - lm.ATTENTION) * (count[w] - (ws.count(w) if out else 0)) / others
+                if i in spot:
+                    hits = pair[spot[i]] - (sum(k == spot[i] for k in spot.values()) if out else 0)
+                    seen = context[spot[i] >> low] - (sum(k >> low == spot[i] >> low for k in spot.values()) if out else 0)
+                    if seen:
+                        p = (1 - seen / (seen + lm.HALF)) * p + hits / (seen + lm.HALF)
+                want += math.log10(p)
+            assert math.isclose(got, want, rel_tol=1e-4, abs_tol=1e-3)
+    assert set(spots[2]) == set(range(lm.CONTEXT, 20))  # every word with a whole context
 
 
 def words_of(text):
@@ -159,12 +176,30 @@ def test_op6_sets_documents_apart_that_occur_twice(spark):
     pool = [f"w{i}" for i in range(3000)]
     texts = [" ".join(pool[i] for i in rng.zipf(1.3, 150) % 3000) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate([*texts, *texts[:20]])), "doc_id long, text string")
-    rows = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score(df, queries.BYTE_BPE, lm.F.col("doc_id") % 7 != 2).collect()}
+    got = lm.score(df, queries.BYTE_BPE, lm.F.col("doc_id") % 7 != 2, left_out=True).collect()
+    rows = {r["doc_id"]: r["score_left_out"] / r["n_tokens"] for r in got}
+    assert all(r["score"] > r["score_left_out"] if r["learnt"] else r["score"] == r["score_left_out"] for r in got)
     once = sorted(rows[i] for i in range(20, 300))
     twice = [i for i in range(20) if (i + 300) % 7 != 2]  # the other copy is learned from
     assert sum(rows[i] > once[-6] for i in twice) >= 0.9 * len(twice)
 
 
+def test_a_pass_of_tasks_moves_the_model_towards_the_text(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [np.repeat(rng.integers(0, 10, 12), 2) for _ in range(60)]
+    rows = windows_of(texts)
+    table = spark.createDataFrame([(i < 40, w.astype("<i4").tobytes()) for i, w in enumerate(rows)], "first boolean, window binary").repartition(3)
+    monkeypatch.setattr(attention, "STEPS", 30)
+    first = sorted(w.astype("<i4").tobytes() for w in rows[:40])
+    state = attention.fitted(np.frombuffer(b"".join(first), "<i4").reshape(-1, rows.shape[1]), 22)
+    assert np.array_equal(state.of_rows(state.rows()).p["out"], state.p["out"])
+    before, after = state.model(), lm._model(table, 22)
+    x, y = np.concatenate([[20, *t] for t in texts]), np.concatenate([[*t, 21] for t in texts])
+    text = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    assert after.log_prob(x, y, text).sum() > before.log_prob(x, y, text).sum() + 1
+    assert np.allclose(lm._model(table, 22).table, after.table)
+
+
 def test_attention_gives_probabilities_and_windows_score_alike():
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, 20, rng.integers(1, 90)) for _ in range(40)]
