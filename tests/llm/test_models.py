@@ -53,9 +53,9 @@ def test_op6_counts_and_base_scores(spark, sf, documents):
         assert r["train_tokens"] == n and r["n_tokens"] == len(ws) and r["n_known"] == sum(count[w] > 0 for w in ws)
         assert math.isclose(r["base_score"], sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
         assert r["held_out"] == (folded(r["doc_id"], 7) == 2) and math.isfinite(r["score"]) and r["score"] < 0
-    # the base gives every unknown word 1 / (n + v + 1) and so isn't normalised; the model is, and still as good on held-out texts
+    # the base gives every unknown word 1 / (n + v + 1) and so isn't normalised; the model is, and still better on held-out texts
     held = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in held) > 1.1 * sum(r["base_score"] for r in held)
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_op6_a_hot_word_over_many_slices(spark, monkeypatch):
