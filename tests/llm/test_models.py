@@ -256,3 +256,11 @@ def test_subword_cache_survives_a_reset(monkeypatch):
     nothing = (texts, np.ones(3, bool), np.zeros(11, np.int64), np.zeros((2, 0), np.int64), 0, 0, sub, model)
     first, again = lm.score_slice(*nothing), lm.score_slice(*nothing)
     assert np.allclose(first[3], again[3]) and first[0].tolist() == [7, 5, 1]
+
+
+def test_planes_give_the_values_back():
+    rng = np.random.default_rng(5)
+    for kind, most in (("<u4", 1 << 32), ("<i8", 1 << 62), ("<u8", 1 << 63)):
+        for n in (0, 1, 257):
+            values = rng.integers(0, most, n).astype(kind)
+            assert np.array_equal(lm.from_planes(lm.planes(values), kind), values)
