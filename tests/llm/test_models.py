@@ -200,6 +200,49 @@ def test_a_pass_of_tasks_moves_the_model_towards_the_text(spark, monkeypatch):
     assert np.allclose(lm._model(table, 22).table, after.table)
 
 
+def test_windows_learn_every_token_of_every_text_once():
+    rng = np.random.default_rng(4)
+    per = np.array([0, 1, 63, 64, 65, 400])
+    ids = rng.integers(0, 20, per.sum())
+    b, learnt = attention.BLOCK, Counter()
+    for batch in attention.covered(ids, per, 20, 21, rng):
+        there = (batch[:, b:-1] != attention.OUTSIDE) & (batch[:, b + 1 :] != attention.OUTSIDE)
+        for x, y, ok in zip(batch[:, b:-1], batch[:, b + 1 :], there, strict=True):
+            learnt.update(zip(x[ok].tolist(), y[ok].tolist(), strict=True))
+    texts = np.split(ids, np.cumsum(per)[:-1])
+    assert learnt == Counter(p for t in texts for p in zip([20, *t.tolist()], [*t.tolist(), 21], strict=True))
+
+
+def test_longer_windows_move_a_model_as_their_parts_do():
+    rng = np.random.default_rng(6)
+    b = attention.BLOCK
+    batch = next(attention.covered(rng.integers(0, 20, 900), np.array([500, 90, 0, 310]), 20, 21, rng))
+    parts = np.concatenate([batch[:, i : i + 2 * b + 1] for i in range(0, attention.LEARNT * b, b)])
+    state = attention.start(parts, 22, rng)
+    one, other = (attention.Adam(state.of_rows(state.rows())) for _ in range(2))
+    one.update(batch, 0.01)
+    other.update(parts, 0.01)
+    assert all(np.allclose(one.m1[k], other.m1[k], atol=1e-6) for k in attention.ORDER)
+
+
+def test_op6_learns_from_all_training_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 2_000)
+    monkeypatch.setattr(attention, "STEPS", 5)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50, n)) + (" zebra" if n == 33 else "") for n in rng.integers(0, 80, 200)]
+    docs = spark.createDataFrame([(i, i % 7 != 2, t) for i, t in enumerate(texts)], "doc_id long, learn boolean, text string")
+    sub, sliced = lm.Subwords(queries.BYTE_BPE), lm.kept(lm._slices(docs), "slices")
+    windows = lm.kept(lm._windows(sliced, queries.BYTE_BPE, 40), "windows")  # what is drawn is a small part of the text
+    start, model = lm._model(windows, sub.size), lm._model(windows, sub.size, sliced, queries.BYTE_BPE)
+    ids, per = lm._ids([t for i, t in enumerate(texts) if i % 7 != 2], sub)
+    count = np.bincount(ids, minlength=sub.size)
+    count[sub.end] += len(per)
+    assert np.array_equal(model.share, attention.shares(model.cls, count + attention.UNSEEN))
+    text = np.repeat(np.arange(len(per)), per)
+    assert model.log_prob(np.roll(ids, 1), ids, text).sum() > start.log_prob(np.roll(ids, 1), ids, text).sum() + 1
+    assert (model.table[ids] != start.table[ids]).any(1).all()  # every subword that occurs has been learned
+
+
 def test_attention_gives_probabilities_and_windows_score_alike():
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, 20, rng.integers(1, 90)) for _ in range(40)]
