@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -361,3 +362,16 @@ def test_adpcm_of_odd_and_empty_tables(spark):
         ("a", None): again, ("a", 3): signal.encode_block(np.array([100, 900, 50]), w, j)[0],
     }
     assert signal.adpcm_encoded(df.limit(0), "k", "b", "x").count() == 0
+
+
+def test_titles_cost_no_more_than_their_length(spark):
+    texts = ["a" + " " * 200_000 + "b", "_" * 100_000 + "c%%é" + "_" * 100_000, "\x00<>", "😀 abc😀def ghijkl mnop", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    began = time.monotonic()
+    got = df.select("i", *[c.alias(n) for n, c in (("t", text.ascii_title(F.col("s"))), ("h", text.header_title(F.col("s"))), ("f", text.output_name(F.col("s"))), ("c", text.output_name(F.col("s"), collapse=True)))]).orderBy("i").collect()
+    assert time.monotonic() - began < 15  # minutes with a regular expression that tries every blank's run anew
+    assert got[0][1:] == (texts[0], "A" + " " * 11, "a" + "_" * 200_000 + "b", "a_b")
+    assert got[1]["h"] == "C" and got[1]["f"] == "c" and got[1]["c"] == "c"
+    assert got[2][1:] == ("?<>", "", "video", "video")
+    assert got[3][1:] == ("? abc?def ghijkl mnop", " ABCDEF GHIJ", "abc_def_ghijkl_mnop", "abc_def_ghijkl_mnop")
+    assert got[4][1:] == (None, None, None, None)
