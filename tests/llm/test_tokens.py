@@ -1,15 +1,17 @@
 """op1, op3 and op4 against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tideline.llm import arrowout, packing, queries
+from tideline.llm import arrowout, packing, queries, tokens
 
 
 @pytest.fixture(scope="module")
@@ -159,6 +161,32 @@ def test_op4_equals_the_library(spark, sf, documents, byte):
     assert got == want
 
 
+def test_cuts_by_character_class_equal_the_library(byte):
+    """Contractions, marks, digits of all scripts, control characters, long and repeated pieces, with a table that starts anew."""
+    rng, enc = random.Random(5), tokens.TextEncoder(queries.BYTE_BPE, 500)
+    parts = ["a", "b", "'", " ", "\n", "s", "t", "re", "ve", "ll", "'d", "é", "漢", "😀", "1", "²", "٣", ".", "!", "\u0301", "\x00", "\x1c", "\t", "\u2003", "<|endoftext|>", " word", "x" * 30, "S"]
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(40)]
+        texts = [None, *(" ".join(t.split()) if rng.random() < 0.7 else t for t in texts)]
+        flat, counts = enc.encode(pa.array(texts).slice(rng.randint(0, 3)))
+        want = [byte.encode(t or "", add_special_tokens=False).ids for t in texts[-len(counts) :]]
+        assert counts.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+def test_pieces_already_met_are_not_encoded_again(monkeypatch):
+    """300,000 different words are more than the encoder kept before, when it encoded them all again."""
+    enc, calls = tokens.TextEncoder(queries.BYTE_BPE, tokens.ROOMY[1]), []
+    ids_of = enc.pieces.ids_of
+    monkeypatch.setattr(enc.pieces, "ids_of", lambda letters: calls.append(1) or ids_of(letters))
+    texts = pa.array([" ".join(f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(at, at + 1000)) for at in range(0, 300_000, 1000)])
+    first = [enc.encode(texts.slice(i, 100)) for i in (0, 100, 200)]
+    assert 300_000 <= len(calls) <= 300_300
+    for i, (flat, counts) in zip((0, 100, 200), first, strict=True):
+        again = enc.encode(texts.slice(i, 100))
+        assert np.array_equal(again[0], flat) and np.array_equal(again[1], counts)
+    assert len(calls) <= 300_300
+
+
 def test_op4_odd_and_empty_tables(spark, odd_dir, empty_dir, odd_texts, byte):
     got = Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in queries.op4_arrow_streams(spark, odd_dir).collect())
     ids = [(d, [*byte.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in odd_texts]
