@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from tokenizers import Tokenizer
 
 from tideline.llm import attention, langid, lm, quality, queries
 
@@ -301,6 +302,21 @@ def test_subword_cache_survives_a_reset(monkeypatch):
     assert np.allclose(first[3], again[3]) and first[0].tolist() == [7, 5, 1]
 
 
+def test_subwords_of_words_already_met_are_not_computed_again(monkeypatch):
+    """250,000 different words are more than a worker kept before, when it read them all again; A-Z count as a-z."""
+    sub, calls = lm.Subwords(queries.BYTE_BPE), []
+    ids_of = sub.pieces.ids_of
+    monkeypatch.setattr(sub.pieces, "ids_of", lambda letters: calls.append(1) or ids_of(letters))
+    texts = [" ".join(f"w{i:x}{'é' * (i % 3)}" for i in range(at, at + 50_000)) for at in range(0, 250_000, 50_000)]
+    first = [lm._ids([t, ""], sub) for t in texts]
+    assert len(calls) == 250_000 and all(per[1] == 0 and per[0] == len(ids) for ids, per in first)
+    again = [lm._ids([t.replace("w", "W"), ""], sub)[0] for t in texts]
+    assert len(calls) == 250_000 and all(np.array_equal(a, ids) for a, (ids, _) in zip(again, first, strict=True))
+    byte = Tokenizer.from_file(queries.BYTE_BPE)
+    for word in ("w", "wéé", "abcdefghijklmnopqrstuvw", "abcdefghijklmnopqrstuvwx", "Donaudampfschifffahrtsgesellschaft"):
+        assert lm._ids([word], sub)[0].tolist() == byte.encode(" " + word.lower(), add_special_tokens=False).ids
+
+
 def test_planes_give_the_values_back():
     rng = np.random.default_rng(5)
     for kind, most in (("<u4", 1 << 32), ("<i8", 1 << 62), ("<u8", 1 << 63)):
