@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tideline.llm import attention, langid, lm, quality, queries
@@ -226,6 +227,37 @@ def test_longer_windows_move_a_model_as_their_parts_do():
     assert all(np.allclose(one.m1[k], other.m1[k], atol=1e-6) for k in attention.ORDER)
 
 
+def test_a_range_of_keys_is_sorted_once(monkeypatch):
+    """Counts of continuations and of their contexts, against plain dictionaries; contexts are in order as soon as the keys are."""
+    rng, low = np.random.default_rng(12), 64 - int(lm.CONTEXT_BITS)
+    slices_ = [np.unique((rng.integers(0, 5, 60) << 40 | rng.integers(0, 9, 60)).astype(np.uint64)) for _ in range(4)]
+    counts = [rng.integers(0, 4, len(s)) for s in slices_]
+    table = pa.table({
+        "slice": list(range(4)), "range": pa.array([1 << 8] * 4, pa.int32()),
+        "hashes": [lm.planes(np.diff(s, prepend=np.uint64(0))) for s in slices_], "counts": [lm.planes(c.astype("<u4")) for c in counts],
+    })
+
+    class Grouped:
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def applyInArrow(self, work, _):  # noqa: N802
+            return work(table)
+
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    got = lm._answers(Grouped(), 8)
+    assert len(calls) == 1
+    pair, context = Counter(), Counter()
+    for s, c in zip(slices_, counts, strict=True):
+        for key, n in zip(s.tolist(), c.tolist(), strict=True):
+            pair[key] += n
+            context[key >> low] += n
+    for s, row in zip(slices_, got["totals"], strict=True):
+        hits, seen = lm.from_planes(row.as_py(), "<u4").reshape(2, -1).tolist()
+        assert hits == [pair[k] for k in s.tolist()] and seen == [context[k >> low] for k in s.tolist()]
+
+
 def test_op6_learns_from_all_training_text(spark, monkeypatch):
     monkeypatch.setattr(lm, "SLICE", 2_000)
     monkeypatch.setattr(attention, "STEPS", 5)
